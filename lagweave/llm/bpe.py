@@ -27,8 +27,6 @@ _BLANK = ~wd.NOT_BLANK
 _ODD_BLANKS = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: The pre-tokenisation pattern of byte-level BPE with ``use_regex``.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A block of rows is cut at about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
 #: Chunks remembered per worker; beyond that the memory starts anew (a matter of speed only).
 REMEMBERED = 1_500_000
 
@@ -165,7 +163,7 @@ class Encoder:
     def counts_of(self, column: pa.Array) -> np.ndarray:
         """The number of tokens of each row of a string column."""
         out = []
-        for data, offsets in blocks(column):
+        for data, offsets in wd.blocks(column):
             bounds, codes, at, whole = self.encode_block(data, offsets)
             cumulative = np.concatenate(([0], np.cumsum(self.counts[at][codes]))) if len(codes) else np.zeros(1, np.int64)
             n = cumulative[bounds[1:]] - cumulative[bounds[:-1]]
@@ -176,7 +174,7 @@ class Encoder:
 
     def ids_of(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row of a string column, in order."""
-        for data, offsets in blocks(column):
+        for data, offsets in wd.blocks(column):
             bounds, codes, at, whole = self.encode_block(data, offsets)
             counts, firsts = self.counts[at], self.firsts[at]
             for r in range(len(offsets) - 1):
@@ -189,16 +187,6 @@ class Encoder:
                 yield self.pool[np.repeat(firsts[mine] - before, n) + np.arange(int(n.sum()))]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``BLOCK_BYTES``."""
-    data, offsets = wd.text_buffer(column)
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
-        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     if path not in _loaded:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import html, packing, quality, sharding, tokens
+from lagweave.llm import decontaminate, html, minhash, packing, quality, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cold cache: every distinct text is encoded in this call."""
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -36,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS, sharding.grown(SHARDS))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,7 +53,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_quality_rules, op6_sharding, op8_packing, op10_html_text)
+    f.__name__: f for f in (op1_minhash, op3_token_counts, op4_quality_rules, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
 }
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}

@@ -7,12 +7,15 @@ through in bounded pieces, so one very long text needs no more working memory th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+#: A block of rows is cut at about so many bytes; a longer text is a block of its own.
+BLOCK_BYTES = 4 << 20
 
 _BYTES = np.arange(256)
 #: Letters, digits and every byte of a non-ASCII character: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing.
@@ -68,6 +71,16 @@ def texts_buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(pa.array([t or "" for t in texts], pa.large_string()))
 
 
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``size`` bytes."""
+    data, offsets = text_buffer(column)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
 @dataclass
 class Words:
     """Words in text order. ``row`` is the row each belongs to; ``bounds[i]:bounds[i + 1]`` are row i's."""
@@ -159,3 +172,16 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         total = (total + words.hash[at + j]) * _MULTIPLIER
         total ^= total >> np.uint64(29)
     return at, mix(total + np.uint64(k))
+
+
+def bytes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after the other."""
+    n = end - start
+    before = np.cumsum(n) - n
+    return data[np.repeat(start - before, n) + np.arange(int(n.sum()))]
+
+
+def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the rows that ``bounds`` delimits."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return total[bounds[1:]] - total[bounds[:-1]]
