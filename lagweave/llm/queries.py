@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import decontaminate, html, minhash, packing, quality, sharding, tokens
+from lagweave.llm import ctw, decontaminate, html, minhash, packing, quality, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).drop("reason")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.train_and_score(table(spark, sf_dir, "documents"))
+
+
 SHARDS = sharding.even_tree(8)
 
 
@@ -53,7 +57,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_token_counts, op4_quality_rules, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
+    f.__name__: f for f in (op1_minhash, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
 }
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
