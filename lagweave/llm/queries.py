@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lagweave.llm import ctw, decontaminate, html, minhash, packing, quality, sharding, tokens
+from lagweave.llm import ctw, decontaminate, html, minhash, packing, quality, sharding, tokens, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +24,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cold cache: every distinct text is encoded in this call."""
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -57,7 +65,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
 }
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
