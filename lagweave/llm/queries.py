@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import ctw, decontaminate, html, minhash, packing, quality, sharding, tokens, toxicity
+from lagweave.llm import ctw, decontaminate, html, licenses, minhash, packing, quality, sharding, tokens, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -60,12 +60,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op10_html_text)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op9_license_scan, op10_html_text)
 }
 
-SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
+SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
