@@ -11,20 +11,26 @@ from lagweave.functions import lagpoly as lp
 
 def normalized(a: Column, matrix: bool = False) -> Column:
     """Checked coefficients as 1x1 or kxk matrices: square, then finite."""
-    a = lp.as_double(a, matrix)
-    out = guard(~lp.all_finite(a, matrix), NumericalError, "coefficients must be finite", a)
-    if matrix:
-        return guard(~lp.square(a), DimensionError, "coefficients must be square", out)
-    return F.transform(out, lambda x: F.array(F.array(x)))
+
+    def checked(a: Column) -> Column:
+        out = guard(~lp.all_finite(a, matrix), NumericalError, "coefficients must be finite", a)
+        if matrix:
+            return guard(~lp.square(a), DimensionError, "coefficients must be square", out)
+        return F.transform(out, lambda x: F.array(F.array(x)))
+
+    return lp.bind(lp.as_double(a, matrix), checked)
 
 
 def companion_matrix(a: Column, matrix: bool = False) -> Column:
     """The (kp, kp) companion: ``[A_1 .. A_p]`` above an identity that shifts the blocks down."""
-    m = normalized(a, matrix)
-    p, k = F.size(m), F.size(F.get(m, F.lit(0)))
-    top = F.transform(lp.upto(k), lambda i: F.flatten(F.transform(m, lambda block: F.get(block, i))))
-    shift = F.transform(lp.upto(k * (p - 1)), lambda i: F.transform(lp.upto(k * p), lambda j: F.when(i == j, 1.0).otherwise(0.0)))
-    return guard(F.size(a) < 1, DimensionError, "a companion needs a coefficient", F.concat(top, shift))
+
+    def built(m: Column) -> Column:
+        p, k = F.size(m), F.size(F.get(m, F.lit(0)))
+        top = F.transform(lp.upto(k), lambda i: F.flatten(F.transform(m, lambda block: F.get(block, i))))
+        shift = F.transform(lp.upto(k * (p - 1)), lambda i: F.transform(lp.upto(k * p), lambda j: F.when(i == j, 1.0).otherwise(0.0)))
+        return guard(p < 1, DimensionError, "a companion needs a coefficient", F.concat(top, shift))
+
+    return lp.bind(normalized(a, matrix), built)
 
 
 def companion_from_polynomial(c: Column, matrix: bool = False) -> Column:

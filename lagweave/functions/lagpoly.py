@@ -6,6 +6,7 @@ Element i of the array is the coefficient of ``L^i``. An autoregression ``A_1..A
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,11 @@ def rank_of(kind: T.DataType) -> bool:
     return depth == 3
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once: a guard names its value several times, and guards nest."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def upto(n: Column) -> Column:
     """0, 1, .., n - 1; nothing if n is 0 (``sequence(0, -1)`` would count down)."""
     return F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), F.greatest(n, F.lit(0)))
@@ -57,11 +63,14 @@ def square(c: Column) -> Column:
 
 def polynomial(c: Column, matrix: bool = False) -> Column:
     """Checked coefficients: not empty, square, finite, in this order."""
-    c = as_double(c, matrix)
-    out = guard(~all_finite(c, matrix), NumericalError, "coefficients must be finite", c)
-    if matrix:
-        out = guard(~square(c), DimensionError, "coefficients must be square", out)
-    return guard(c.isNull() | (F.size(c) == 0), DimensionError, "a polynomial needs a coefficient", out)
+
+    def checked(c: Column) -> Column:
+        out = guard(~all_finite(c, matrix), NumericalError, "coefficients must be finite", c)
+        if matrix:
+            out = guard(~square(c), DimensionError, "coefficients must be square", out)
+        return guard(c.isNull() | (F.size(c) == 0), DimensionError, "a polynomial needs a coefficient", out)
+
+    return bind(as_double(c, matrix), checked)
 
 
 def identity(k: Column) -> Column:
@@ -95,13 +104,17 @@ def from_ar(a: Column, matrix: bool = False) -> Column:
     """``I - A_1 L - ... - A_p L^p``; without scalar coefficients it is 1."""
     a = as_double(a, matrix)
     if matrix:
-        a = guard((F.size(a) == 0) | ~square(a), DimensionError, "coefficients must be square", a)
-        return polynomial(F.concat(F.array(identity(dim(a, True))), negated(a, True)), True)
+        a = bind(a, lambda x: guard((F.size(x) == 0) | ~square(x), DimensionError, "coefficients must be square", x))
+        return polynomial(bind(a, lambda x: F.concat(F.array(identity(dim(x, True))), negated(x, True))), True)
     return polynomial(F.concat(F.array(F.lit(1.0)), negated(a, False)))
 
 
 def ar_coeffs(c: Column, matrix: bool = False, tol: float = 1e-10) -> Column:
     """``A_1..A_p``; the leading coefficient must be the identity within ``tol + 1e-5 * |identity|``."""
+    return bind(c, lambda x: _ar_coeffs(x, matrix, tol))
+
+
+def _ar_coeffs(c: Column, matrix: bool, tol: float) -> Column:
     near = lambda x, e: F.abs(x - F.lit(e)) <= F.lit(tol + RELATIVE * e)
     lead = F.get(c, F.lit(0))
     if matrix:
@@ -115,19 +128,26 @@ def multiply(a: Column, b: Column, a_matrix: bool = False, b_matrix: bool = Fals
     """The product; matrices do not commute. A product that overflows raises."""
     if a_matrix != b_matrix:
         raise DimensionError("a scalar and a matrix polynomial have no product")
+    return bind(a, lambda x: bind(b, lambda y: _multiply(x, y, a_matrix)))
+
+
+def _multiply(a: Column, b: Column, matrix: bool) -> Column:
     n = F.size(a) + F.size(b) - 1
 
     def pairs(k: Column) -> Column:  # i from max(0, k - q) to min(k, p)
         lo, hi = F.greatest(F.lit(0), k - F.size(b) + 1), F.least(k, F.size(a) - 1)
         return F.sequence(lo, hi)
 
-    if not a_matrix:
+    if not matrix:
         out = F.transform(upto(n), lambda k: add_up(F.transform(pairs(k), lambda i: F.get(a, i) * F.get(b, k - i))))
         return polynomial(out)
     size = dim(a, True)
 
     def cell(k: Column, r: Column, s: Column) -> Column:
-        return add_up(F.transform(pairs(k), lambda i: add_up(F.transform(upto(size), lambda j: F.get(F.get(F.get(a, i), r), j) * F.get(F.get(F.get(b, k - i), j), s)))))
+        def block(total: Column, i: Column) -> Column:
+            return F.aggregate(upto(size), total, lambda t, j: t + F.get(F.get(F.get(a, i), r), j) * F.get(F.get(F.get(b, k - i), j), s))
+
+        return F.aggregate(pairs(k), F.lit(0.0), block)
 
     out = F.transform(upto(n), lambda k: F.transform(upto(size), lambda r: F.transform(upto(size), lambda s: cell(k, r, s))))
     return guard(size != dim(b, True), DimensionError, "matrices of unequal size", polynomial(out, True))
@@ -152,8 +172,12 @@ def evaluate(c: Column, re: Column, im: Column | None = None, matrix: bool = Fal
     im = F.lit(0.0) if im is None else im
     if not matrix:
         return _horner(c, re, im)
-    k = dim(c, True)
-    return F.transform(upto(k), lambda r: F.transform(upto(k), lambda s: _horner(F.transform(c, lambda m: F.get(F.get(m, r), s)), re, im)))
+
+    def cells(x: Column) -> Column:
+        k = dim(x, True)
+        return F.transform(upto(k), lambda r: F.transform(upto(k), lambda s: _horner(F.transform(x, lambda m: F.get(F.get(m, r), s)), re, im)))
+
+    return bind(c, cells)
 
 
 def roots(c: Column, matrix: bool = False) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lagweave.errors import DimensionError, NumericalError, SpecificationError, guard
 from lagweave.functions import lagpoly as lp
-from lagweave.functions.companion import companion_matrix
 
 RESULT = "struct<eigenvalues:array<struct<re:double,im:double>>,max_modulus:double,is_stable:boolean,n_unit_roots:int,n_explosive:int,tol:double>"
 
@@ -62,8 +61,36 @@ def assess_stability_from_companion(c: Column, *, tol: float = 1e-8, allow_unit_
     return run(guard(c.isNull() | ~F.forall(c, lambda r: F.size(r) == F.size(c)), DimensionError, "the matrix must be square", c))
 
 
+def companions(batch: pd.Series, matrix: bool) -> list[np.ndarray]:
+    """Companions of a batch of coefficient sets: rank, then finite values, then at least one coefficient."""
+    out = []
+    for a in batch:
+        if a is None or len(a) == 0:
+            raise DimensionError("[DimensionError] a companion needs a coefficient")
+        try:
+            blocks = np.array([[list(r) for r in m] for m in a] if matrix else [[[x]] for x in a], dtype=float)
+        except (TypeError, ValueError) as e:
+            raise DimensionError("[DimensionError] coefficients must be square") from e
+        p, k = len(blocks), blocks.shape[1]
+        if blocks.ndim != 3 or blocks.shape[1] != blocks.shape[2] or k == 0:
+            raise DimensionError("[DimensionError] coefficients must be square")
+        if not np.isfinite(blocks).all():
+            raise NumericalError("[NumericalError] coefficients must be finite")
+        c = np.eye(k * p, k=-k)
+        c[:k] = np.hstack(list(blocks))
+        out.append(c)
+    return out
+
+
 def assess_stability(a: Column, matrix: bool = False, *, tol: float = 1e-8, allow_unit_roots: bool = False) -> Column:
-    return assess_stability_from_companion(companion_matrix(a, matrix), tol=tol, allow_unit_roots=allow_unit_roots)
+    """The result struct for a column of coefficient sets. The companions are built where their eigenvalues are, so only coefficients travel."""
+    _check(tol)
+
+    @F.pandas_udf(RESULT)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(assess_batch(companions(batch, matrix), tol, allow_unit_roots), columns=["eigenvalues", "max_modulus", "is_stable", "n_unit_roots", "n_explosive", "tol"])
+
+    return run(lp.as_double(a, matrix))
 
 
 def step_down(a: Column, tol: float = 1e-8) -> Column:
