@@ -63,7 +63,7 @@ def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> Counter:
     return Counter({n: min(k, int(limits[n])) for n, k in out.items()})
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int, step: float = 0.1) -> dict[Pattern, float]:
+def fractional(demand: np.ndarray, capacity: int, rounds: int, step: float = 0.34) -> dict[Pattern, float]:
     """A fractional cover by multiplicative weights; no length is covered more than once over."""
     x: dict[Pattern, float] = {}
     covered = np.zeros(len(demand))
@@ -108,7 +108,7 @@ def fill(room: int, counts: dict[int, int]) -> Counter:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[Pattern, int]]:
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 800) -> list[tuple[Pattern, int]]:
     """Configurations and how often to use each; together they hold the histogram exactly."""
     left = {n: k for n, k in histogram.items() if k > 0}
     out: Counter = Counter()
