@@ -19,6 +19,7 @@ table gives an empty result; columns besides ``doc_id`` and ``text`` are carried
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ from lagweave.llm import words as wd
 from lagweave.llm.shared import bucket_of
 from lagweave.session import ship
 
-SAMPLE = 8000
+SAMPLE = 4000
 LANDMARKS = 64
 ORDER, DECAY, POWER = 3, 0.7, 4
 #: Letters of a piece of a word; longer words are scored by overlapping pieces.
@@ -353,13 +354,13 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     for data, offsets in wd.blocks(pa.array([t or "" for t in texts], pa.large_string())):
         b = read_block(data, offsets)
         ids = np.array([numbers.setdefault(w, len(numbers)) for w in texts_of(data, b.start, b.end)], np.int64)
-        row.append(b.row + done)
-        sentence.append(b.sentence + last)
-        word.append(ids[b.code])
+        row.append((b.row + done).astype(np.int32))
+        sentence.append((b.sentence + last).astype(np.int32))
+        word.append(ids[b.code].astype(np.int32))
         done, last = done + len(offsets) - 1, last + int(b.sentence.max(initial=0)) + 2
     row, sentence, word = (np.concatenate(x) for x in (row, sentence, word))
     words = list(numbers)
-    pairs = np.unique(row * len(words) + word)
+    pairs = np.unique(row.astype(np.int64) * len(words) + word)
     owner, kind = pairs // len(words), pairs % len(words)
     toxic = np.bincount(kind[labels[owner] == 1], minlength=len(words))
     clean = np.bincount(kind[labels[owner] == 0], minlength=len(words))
@@ -452,12 +453,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(modulus))
     n = marked.count()
     if n > sample:
-        # the sample by a hash, a fixed share that holds ``sample`` rows but for chance, then at most that many
-        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * sample / n)).limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic").limit(2 * sample).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    texts = rows.column("text").take(pa.array(order)).to_pylist()
-    return fit(texts, rows.column("toxic").to_numpy()[order].astype(np.int64))
+        # by a hash: a share that holds some more than ``sample`` rows, of which the first ones stay
+        share = min(1.0, 1.5 * sample / n + 100 / n)
+        marked = marked.withColumn("h", F.xxhash64("doc_id", F.lit(17))).where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * share))
+        marked = marked.orderBy(F.pmod("h", F.lit(1 << 30)), "doc_id").limit(sample).drop("h")
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(r["doc_id"], r["text"] or "", int(r["toxic"])) for b in batches for r in b.to_pylist()})
+        model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task trains on it; the driver sees the model only
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").limit(2 * sample)
+    models = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else 0.0
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
