@@ -214,37 +214,43 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def rest_of_buckets(members: DataFrame) -> DataFrame:
-    """Candidate pairs between classes: ``members(bucket, n, node, class, sig)`` of buckets with several classes.
+def rest_of_buckets(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links between classes: ``members(bucket, n, node, class, sig, shingles)`` of buckets with several classes.
 
-    A bucket is cut into blocks that meet pairwise, each meeting a task's work of bounded size. A pair is told in the first
-    band that it shares only, and only if its signatures agree enough.
+    A bucket is cut into blocks that meet pairwise, each meeting a task's work of bounded size. A pair is looked at in the first
+    band that it shares only, if its signatures agree enough, and by its multisets at once, so that no pair leaves the task
+    but links, and of these only such as join two classes (at most one fewer than there are members).
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = members.withColumn("blocks", blocks).withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "class", "sig")
+    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "class", "sig", "shingles")
 
     def run(_: tuple, group: pa.Table) -> pa.Table:
         n = group.num_rows
-        node, kind, block = (group.column(c).to_pylist() for c in ("node", "class", "block"))
+        node = group.column("node").to_pylist()
+        sets = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
         band = group.column("bucket")[0].as_py()["band"]
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(n, COMPONENTS)
-        classes = np.unique(np.array(kind, object), return_inverse=True)[1] if n else np.zeros(0, int)
-        block = np.array(block)
+        kind = np.unique(np.array(group.column("class").to_pylist(), object), return_inverse=True)[1]
+        block = group.column("block").to_numpy()
         a, b = [], []
-        for i in range(n):
-            others = np.flatnonzero((classes != classes[i]) & ((block == hi) if lo != hi else (np.arange(n) > i))) if block[i] == lo else np.zeros(0, int)
+        for i in np.flatnonzero(block == lo).tolist():
+            others = np.flatnonzero((kind != kind[i]) & ((block == hi) if lo != hi else (np.arange(n) > i)))
+            others = others[least * np.maximum(sizes[others], sizes[i]) <= np.minimum(sizes[others], sizes[i]) + 1e-9]
             if not len(others):
                 continue
             same = sig[others] == sig[i]
-            close = same.mean(axis=1) >= LEAST_AGREEMENT
-            for j, agree in zip(others[close].tolist(), same[close], strict=True):
-                shared = np.flatnonzero(agree.reshape(BANDS, ROWS).all(axis=1))
-                if len(shared) and shared[0] == band:
+            agree = same.mean(axis=1)
+            whole = same.reshape(len(others), BANDS, ROWS).all(axis=2)
+            told = np.flatnonzero((agree >= LEAST_AGREEMENT) & whole.any(axis=1) & (whole.argmax(axis=1) == band))
+            for j in others[told[np.argsort(-agree[told], kind="stable")]].tolist():
+                if kind[j] != kind[i] and overlap(sets[i], sets[j]) >= least - 1e-12:
                     a.append(min(node[i], node[j]))
                     b.append(max(node[i], node[j]))
+                    kind[kind == kind[j]] = kind[i]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return met.groupBy("bucket", "lo", "hi").applyInArrow(run, "a binary, b binary")
@@ -272,19 +278,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what the leaders have not joined
     named = buckets.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("bucket")
-    signed = sketches.groupBy("node").agg(F.first("sig").alias("sig"))
-    members = named.join(mixed, "bucket").join(signed, "node")
-    more = rest_of_buckets(members).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").distinct()
-    late = materialize(verified(more, sets), "late_links")
+    signed = sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig")).join(sets, "node")
+    late = materialize(rest_of_buckets(named.join(mixed, "bucket").join(signed, "node")).distinct(), "late_links")
     return sketches, materialize(components(links.unionByName(late)), "classes")
 
 
+def _first_of_nodes(sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, doc_id, class``: one row per node with its smallest doc_id. Copies fall together within each task first."""
+    least = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return least.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id`` for every row; a class is named by its smallest doc_id."""
     sketches, found = classes(docs)
-    nodes = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    nodes = _first_of_nodes(sketches, found)
     names = nodes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    with_words = nodes.join(names, "class").select("doc_id", "class_id")
+    named = nodes.join(names, "class").select("node", "class_id")
+    # the only join with all rows: a text with very many copies makes it skewed, and AQE splits such partitions
+    with_words = sketches.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "class_id")
     return with_words.unionByName(_without_words(docs))
 
 
@@ -296,7 +308,7 @@ def _without_words(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document for each class: that of the smallest doc_id (documents without words all stay)."""
     sketches, found = classes(docs)
-    nodes = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    nodes = _first_of_nodes(sketches, found)
     kept = nodes.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__node"))
     return _rows_of(docs, kept)
 
