@@ -79,7 +79,11 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base measures; its own columns must not begin with two underscores."""
+    """``docs`` with the base measures; its own columns must not begin with two underscores.
+
+    ``__fence`` is for conditions on the measures: Catalyst would push a filter below the projections and so compute a
+    measure again inside its own expressions, once for each word, but it moves none across a column that is not deterministic.
+    """
     df = _with_words(docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     df = (
@@ -90,7 +94,7 @@ def measured(docs: DataFrame) -> DataFrame:
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .drop("__lines")
     )
-    df = _repeat_words(df)
+    df = _repeat_words(df).withColumn("__fence", F.monotonically_increasing_id())
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -101,27 +105,29 @@ def default_rules() -> list[Rule]:
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     return [
         Rule("symbols", 4 * F.col("n_symbols") > words),
-        Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("dup_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("word_length", (F.col("word_chars") > 25 * words) | (F.col("word_chars") < 2 * words)),
         Rule("shouts", 4 * shouts > words, per_char=12.0),
         Rule("capitals", 2 * capitals > F.col("word_chars"), per_char=25.0),
     ]
 
 
-def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """Rules by rejection per cost, both estimated over ``sample`` (one aggregate); ties by name.
+def order_rules(measures: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) -> list[Rule]:
+    """Rules by rejection per cost, both estimated over the first ``sample_rows`` rows of ``measures``; ties by name.
 
     The greedy order re-estimates: after a rule is placed, the next one is chosen by what it rejects among
     the rows that are left, as the bit masks of rejections are counted.
     """
     mask = sum((F.when(F.coalesce(r.rejects, F.lit(False)), F.lit(1 << k)).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
-    rows = (
-        sample.select(F.when(~F.col("base_failed"), mask).alias("m"), F.length("__text").alias("c"), F.col("n_words").alias("w"))
-        .groupBy("m").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w")).collect()
-    )  # at most 2 ** len(rules) + 1 rows; a null mask: the base rules have rejected the row before
-    rows = [r for r in rows if r["m"] is not None]
+    # take() computes as many partitions as it needs, and three numbers a row come to the driver
+    taken = measures.select(F.when(~F.col("base_failed"), mask).alias("m"), F.length("__text").alias("c"), F.col("n_words").alias("w")).take(sample_rows)
+    sums: dict[int, list[int]] = {}
+    for r in taken:
+        if r["m"] is not None:  # else the base rules have rejected the row before
+            x = sums.setdefault(r["m"], [0, 0, 0])
+            x[0], x[1], x[2] = x[0] + 1, x[1] + r["c"], x[2] + r["w"]
     left, order = list(range(len(rules))), []
-    alive = [(r["m"], r["n"], r["c"] or 0, r["w"] or 0) for r in rows]
+    alive = [(m, *x) for m, x in sums.items()]
     while left:
         n, chars, words = (sum(x[i] for x in alive) for i in (1, 2, 3))
 
@@ -152,9 +158,9 @@ def judged(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: in
     """
     rules = list(default_rules() if rules is None else rules)
     df = measured(docs)
-    order = order_rules(measured(docs.limit(sample_rows)), rules)
+    order = order_rules(df, rules, sample_rows)
     df = df.withColumn("reason", cascade(order))
-    return df.withColumn("kept", F.col("reason").isNull())
+    return df.withColumn("kept", F.col("reason").isNull() & (F.col("__fence") >= 0))
 
 
 def score(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -169,10 +175,7 @@ def keep(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     The cascade sees each row where it lies: columns are carried in a struct, so no name can clash.
     """
     carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"))
-    # Catalyst would push the filter below the projections and so compute every measure again inside its own
-    # expressions, for each word; it moves no filter across a column that is not deterministic
-    fenced = judged(carried, rules).select("__row", "kept", F.monotonically_increasing_id().alias("__fence"))
-    return fenced.where(F.col("kept") & (F.col("__fence") >= 0)).select("__row.*")
+    return judged(carried, rules).where("kept").select("__row.*")
 
 
 ORACLE_SQL = r"""
@@ -189,7 +192,7 @@ m AS (SELECT w.r, doc_id, t, len(ws)::BIGINT AS n_words, length(regexp_replace(t
       FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
             OR word_chars > 25 * n_words OR word_chars < 2 * n_words
             OR 4 * length(regexp_replace(t, '[^!]+', '', 'g')) > n_words
             OR 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > word_chars) AS kept
