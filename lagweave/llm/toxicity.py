@@ -39,6 +39,8 @@ LANDMARKS = 64
 ORDER, DECAY, POWER = 3, 0.7, 4
 #: Letters of a piece of a word; longer words are scored by overlapping pieces.
 PIECE = 32
+#: Pairs of words in one run of the recursion, and words whose features are found at once: bounds of working memory.
+PAIRS, WORDS = 4096, 100_000
 #: Share of a landmark's neighbouring pairs that a word must hold.
 SHARED = 0.6
 #: Marks around a word: where a stem stands tells as much as its letters.
@@ -82,6 +84,9 @@ def ssk(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY)
 
 def kernel(s: np.ndarray, t: np.ndarray, own_s: np.ndarray | None = None, own_t: np.ndarray | None = None) -> np.ndarray:
     """Normalised kernels of paired rows, to a power (a product of kernels is one) that parts near from similar words."""
+    if len(s) > PAIRS:  # the recursion keeps a table for each pair
+        parts = [slice(k, k + PAIRS) for k in range(0, len(s), PAIRS)]
+        return np.concatenate([kernel(s[p], t[p], None if own_s is None else own_s[p], None if own_t is None else own_t[p]) for p in parts])
     own = (ssk(s, s) if own_s is None else own_s) * (ssk(t, t) if own_t is None else own_t)
     return np.where(own > 0, ssk(s, t) / np.sqrt(np.maximum(own, 1e-30)), 0) ** POWER
 
@@ -149,8 +154,8 @@ class Landmarks:
         left, right = np.concatenate(left or [starts[:0]]), np.concatenate(right or [starts[:0]])
         out = np.zeros(len(left))
         order = np.argsort(lengths[left], kind="stable")  # short words do not pay for long ones
-        for k in range(0, len(order), 8192):
-            chosen = order[k : k + 8192]
+        for k in range(0, len(order), PAIRS):
+            chosen = order[k : k + PAIRS]
             w = left[chosen]
             width = int(lengths[w].max())
             w, which = np.unique(w, return_inverse=True)
@@ -212,6 +217,9 @@ def read_block(data: np.ndarray, offsets: np.ndarray) -> Block:
 
 def word_features(words: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, landmark, kernel), for a long word the largest kernel of its overlapping pieces."""
+    if len(words) > WORDS:
+        parts = [(k, word_features(words[k : k + WORDS], marks)) for k in range(0, len(words), WORDS)]
+        return np.concatenate([p[0] + k for k, p in parts]), np.concatenate([p[1] for _, p in parts]), np.concatenate([p[2] for _, p in parts])
     pieces, owner = [], []
     for i, w in enumerate(words):
         if len(w) <= PIECE:
@@ -231,22 +239,29 @@ def word_features(words: list[str], marks: Landmarks) -> tuple[np.ndarray, np.nd
     return key // len(marks.words), key % len(marks.words), largest
 
 
-def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps; y is -1 or 1."""
-    design = np.hstack((x, np.ones((len(x), 1))))
+def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rows: int = 20_000) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1."""
     cost = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)) / len(y)
-    ridge = np.full(design.shape[1], penalty * 1e-3)
+    n = x.shape[1]
+    ridge = np.full(n + 1, penalty * 1e-3)
     ridge[-1] = 1e-9
-    w = np.zeros(design.shape[1])
+    w = np.zeros(n + 1)
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return y * (x @ w[:-1] + w[-1])
 
     def loss(w: np.ndarray) -> float:
-        return float(ridge @ (w * w) + cost @ np.maximum(0, 1 - y * (design @ w)) ** 2)
+        return float(ridge @ (w * w) + cost @ np.maximum(0, 1 - margins(w)) ** 2)
 
     for _ in range(50):
-        active = y * (design @ w) < 1
-        a, c = design[active], cost[active]
-        gradient = ridge * w - a.T @ (c * (y[active] - a @ w))
-        step = np.linalg.solve(np.diag(ridge) + a.T @ (a * c[:, None]) + 1e-12 * np.eye(len(w)), gradient)
+        active = np.flatnonzero(margins(w) < 1)
+        gradient, hessian = ridge * w, np.diag(ridge) + 1e-12 * np.eye(n + 1)
+        for k in range(0, len(active), rows):
+            at = active[k : k + rows]
+            a = np.hstack((x[at], np.ones((len(at), 1))))
+            gradient = gradient - a.T @ (cost[at] * (y[at] - a @ w))
+            hessian = hessian + a.T @ (a * cost[at][:, None])
+        step = np.linalg.solve(hessian, gradient)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -372,21 +387,22 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     table = np.full(len(words), -1)
     there = np.unique(left)
     table[there] = np.arange(len(there))
-    features = np.zeros((len(there), len(chosen)))
+    features = np.zeros((len(there), len(chosen)), np.float32)
     features[table[left], right] = value
     taking = np.flatnonzero(table[word] >= 0)
     code, _ = pd.factorize(sentence[taking])
     n = int(code.max(initial=-1)) + 1
     if not n:
         return float(labels.mean())
-    sums = np.zeros((n, len(chosen)))
-    np.add.at(sums, code, features[table[word[taking]]])
-    x = sums @ marks.whitening
+    x = np.zeros((n, len(chosen)), np.float32)
+    for k in range(0, len(taking), WORDS):
+        np.add.at(x, code[k : k + WORDS], features[table[word[taking[k : k + WORDS]]]])
+    x = x @ marks.whitening.astype(np.float32)
     document = np.zeros(n, np.int64)
     document[code] = row[taking]
     # a clean document also stands for its sentences in which no word takes part
     rest = np.flatnonzero(labels == 0)
-    x, document = np.vstack((x, np.zeros((len(rest), x.shape[1])))), np.concatenate((document, rest))
+    x, document = np.vstack((x, np.zeros((len(rest), x.shape[1]), np.float32))), np.concatenate((document, rest))
     y = np.where(labels[document] == 1, 1.0, -1.0)
     use = np.ones(len(y), bool)
     weights, bias = np.zeros(len(chosen)), 0.0
@@ -399,7 +415,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
         np.maximum.at(best, document, margin)
         use = (y < 0) | (margin > 0) | (margin >= best[document])
     weights = marks.whitening @ weights
-    got = document_features(row[taking], sentence[taking], features[table[word[taking]]] @ weights, len(labels), bias)
+    got = document_features(row[taking], sentence[taking], (features @ weights)[table[word[taking]]], len(labels), bias)
     center, scale = got.mean(axis=0), np.maximum(got.std(axis=0), 1e-6)
     return Model(marks, weights, bias, center, scale, logistic((got - center) / scale, labels.astype(float)))
 
