@@ -39,8 +39,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-#: Signatures that agree in a smaller share have a similarity below ``SIMILARITY`` (three standard errors).
-LEAST_AGREEMENT = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5
 #: Members of a bucket that meet in one task.
 BLOCK = 512
 
@@ -218,8 +216,8 @@ def rest_of_buckets(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links between classes: ``members(bucket, n, node, class, sig, shingles)`` of buckets with several classes.
 
     A bucket is cut into blocks that meet pairwise, each meeting a task's work of bounded size. A pair is looked at in the first
-    band that it shares only, if its signatures agree enough, and by its multisets at once, so that no pair leaves the task
-    but links, and of these only such as join two classes (at most one fewer than there are members).
+    band that it shares only, and by its multisets at once, so that no pair leaves the task but links, and of these only such
+    as join two classes (at most one fewer than there are members). Signatures only order the pairs, likely links first.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -245,7 +243,7 @@ def rest_of_buckets(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
             same = sig[others] == sig[i]
             agree = same.mean(axis=1)
             whole = same.reshape(len(others), BANDS, ROWS).all(axis=2)
-            told = np.flatnonzero((agree >= LEAST_AGREEMENT) & whole.any(axis=1) & (whole.argmax(axis=1) == band))
+            told = np.flatnonzero(whole.any(axis=1) & (whole.argmax(axis=1) == band))
             for j in others[told[np.argsort(-agree[told], kind="stable")]].tolist():
                 if kind[j] != kind[i] and overlap(sets[i], sets[j]) >= least - 1e-12:
                     a.append(min(node[i], node[j]))

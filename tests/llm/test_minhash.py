@@ -89,6 +89,16 @@ def test_classes_match_all_pairs(spark, monkeypatch, block):
     assert got == brute(docs)
 
 
+def test_rest_of_buckets_verifies_pairs_whose_signatures_disagree(spark):
+    # one band of 24 in common, multisets at 0.9
+    one = np.arange(mh.COMPONENTS, dtype="<u2")
+    two = np.where(np.arange(mh.COMPONENTS) < mh.ROWS, one, one + 1000).astype("<u2")
+    sets = np.arange(19, dtype="<u4"), np.arange(1, 19, dtype="<u4")
+    rows = [((0, 7), 2, bytes([k]), bytes([k]), bytearray(sig.tobytes()), bytearray(s.tobytes())) for k, (sig, s) in enumerate(zip((one, two), sets, strict=True))]
+    members = spark.createDataFrame(rows, "bucket struct<band: int, key: long>, n long, node binary, class binary, sig binary, shingles binary")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in mh.rest_of_buckets(members).collect()] == [(bytes([0]), bytes([1]))]
+
+
 def test_dedup_keeps_one_row_of_each_class(spark):
     docs = fixture()
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, node int")
