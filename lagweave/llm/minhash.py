@@ -79,15 +79,17 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows
     out = np.full((n_rows, m), np.iinfo(np.uint64).max, _U)
     total = np.bincount(rows, weights, minlength=n_rows)
     # the processes: a band of width 2**(j-1) for each power of two up to the weight, of which w - 2**(j-1) levels are owned
-    element, width, owned = [np.arange(len(rows))], [np.ones(len(rows))], [np.ones(len(rows))]
+    element, start, width, owned = [np.arange(len(rows))], [np.zeros(len(rows), _U)], [np.ones(len(rows))], [np.ones(len(rows))]
     low = 1
     while len(above := np.flatnonzero(weights > low)):
         element.append(above)
+        start.append(np.full(len(above), low, _U))
         width.append(np.full(len(above), float(low)))
         owned.append(np.minimum(weights[above] - low, low).astype(float))
         low *= 2
-    element, width, owned = (np.concatenate(x) for x in (element, width, owned))
-    seed = wd.mix(hashes[element] ^ wd.mix(width.astype(_U) * _GOLDEN))
+    element, start, width, owned = (np.concatenate(x) for x in (element, start, width, owned))
+    # the first two bands have one width, so a process is told by where its band starts
+    seed = wd.mix(hashes[element] ^ wd.mix((start + _U(1)) * _GOLDEN))
     row = rows[element]
     horizon = (np.log(m) + 3) / np.maximum(total, 1)
     left = total > 0

@@ -74,6 +74,18 @@ def test_estimate_is_unbiased():
         assert abs(np.mean(got) - np.mean(true)) < 0.03
 
 
+def test_estimate_is_unbiased_for_weights_one_and_two():
+    # 80 common shingles of weight 2 and 20 single ones on each side: 160 / 200
+    rng = random.Random(2)
+    got = []
+    for _ in range(30):
+        common, one, two = ([rng.getrandbits(63) for _ in range(n)] for n in (80, 20, 20))
+        h = np.array([*common, *one, *common, *two], np.uint64)
+        s = mh.signatures(np.repeat([0, 1], 100), h, np.array(([2] * 80 + [1] * 20) * 2), 2) & np.uint64(0xFFFFFFFF)
+        got.append((s[0] == s[1]).mean())
+    assert abs(np.mean(got) - 0.8) < 0.03
+
+
 def test_overlap():
     a, b = np.array([1, 1, 2, 5], np.uint32), np.array([1, 2, 2, 5], np.uint32)
     assert mh.overlap(a, b) == pytest.approx(3 / 5)
