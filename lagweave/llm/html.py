@@ -1,12 +1,12 @@
-"""Main text of web pages by the distribution of text over line blocks.
+"""Main text of web pages by their markup.
 
-Markup is stripped so that each block element is one line. A line's mass is its length, or nothing if it stands
-in an element that never holds the article (menu, header, footer, sidebar, notice, advert, form, comments). Masses
-are summed over sliding windows of lines; where the sums surge from nothing a region begins, where they dive back
-to nothing it ends. Regions with a fair share of the page's mass are kept, whole.
+Markup is stripped so that each block element is one line. Lines that stand in an element that never holds the article
+(menu, header, footer, sidebar, notice, advert, form, comments), by its tag or the words of its class, id and role, are
+left out; where a page has article elements, so are the lines outside. All other lines are kept, whatever their length
+and wherever they stand.
 
 Defined cases: null or empty html gives the empty text; unclosed and truncated markup is read as far as it goes;
-a page without any region gives the empty text; repeated rows give a row each; an empty table gives an empty result.
+a page without any such line gives the empty text; repeated rows give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ from pyspark.sql import types as T
 
 from lagweave.session import ship
 
-WINDOW = 3
-#: A region must have this share of the largest region's mass.
-SHARE = 0.25
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -110,45 +106,10 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def regions(masses: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of lines from surge to dive of the window sums."""
-    found, begun, gap = [], None, 0
-    for i, m in enumerate(masses):
-        if m > 0:
-            if begun is None:
-                begun = i
-            gap, last = 0, i
-        elif begun is not None:
-            gap += 1
-            if gap >= window:  # the sum over the window has fallen to nothing
-                found.append((begun, last + 1))
-                begun = None
-    if begun is not None:
-        found.append((begun, last + 1))
-    return found
-
-
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None) -> str:
     got = lines(page or "")
     marked = any(inside and not apart for _, apart, inside in got)
-    # an element that stands apart is a gap of a whole window, however few lines it has
-    masses: list[int] = []
-    texts: list[str] = []
-    was = False
-    for line, apart, inside in got:
-        apart = apart or marked and not inside
-        if apart:
-            if not was:
-                masses += [0] * window
-                texts += [""] * window
-        else:
-            masses.append(len(line))
-            texts.append(line)
-        was = apart
-    found = regions(masses, window)
-    largest = max((sum(masses[a:b]) for a, b in found), default=0)
-    kept = [texts[i] for a, b in found if sum(masses[a:b]) >= share * largest for i in range(a, b) if masses[i]]
-    return "\n".join(kept)
+    return "\n".join(line for line, apart, inside in got if not apart and (inside or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

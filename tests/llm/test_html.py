@@ -21,6 +21,12 @@ def test_div_page_by_line_blocks():
     assert html.main_text(page(f"<div class='post'>{BODY}</div>{apart}")) == "\n".join(PLAIN)
 
 
+def test_long_div_page_keeps_short_parts_between_elements_apart():
+    long = ["word " * 99 + "end." for _ in range(4)]
+    body = "<h1>A heading of thirty characters</h1><div class='share'>Share this</div>" + "".join(f"<p>{x}</p>" for x in long) + "<div class='ad'>buy</div><p>" + "Closing words. " * 20 + "</p>"
+    assert html.main_text(page(f"<div class='post'>{body}</div>")) == "\n".join(["A heading of thirty characters", *long, ("Closing words. " * 20).strip()])
+
+
 def test_broken_and_empty_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<html><body></body>") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("plain text &am") == "plain text &am"
