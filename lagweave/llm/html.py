@@ -2,8 +2,9 @@
 
 Markup is stripped so that each block element is one line. Lines that stand in an element that never holds the article
 (menu, header, footer, sidebar, notice, advert, form, comments), by its tag or the words of its class, id and role, are
-left out; where a page has article elements, so are the lines outside. All other lines are kept, whatever their length
-and wherever they stand.
+left out; where article elements hold at least as much of the other text as there is outside them, so are the lines outside.
+All other lines are kept, whatever their length and wherever they stand. The density of text decides nothing: a menu, link
+list or notice without such a tag or word is kept.
 
 Defined cases: null or empty html gives the empty text; unclosed and truncated markup is read as far as it goes;
 a page without any such line gives the empty text; repeated rows give a row each; an empty table gives an empty result.
@@ -108,7 +109,10 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     got = lines(page or "")
-    marked = any(inside and not apart for _, apart, inside in got)
+    # a teaser in an article element does not stand for the page
+    within = sum(len(line) for line, apart, inside in got if inside and not apart)
+    without = sum(len(line) for line, apart, inside in got if not inside and not apart)
+    marked = within >= without
     return "\n".join(line for line, apart, inside in got if not apart and (inside or not marked))
 
 

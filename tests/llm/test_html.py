@@ -27,6 +27,11 @@ def test_long_div_page_keeps_short_parts_between_elements_apart():
     assert html.main_text(page(f"<div class='post'>{body}</div>")) == "\n".join(["A heading of thirty characters", *long, ("Closing words. " * 20).strip()])
 
 
+def test_teaser_in_an_article_element_does_not_replace_the_main_text():
+    long = "word " * 99 + "end."
+    assert html.main_text(page(f"<div><p>{long}</p><p>{long}</p></div><article>Read this too</article>")) == "\n".join([long, long, "Read this too"])
+
+
 def test_broken_and_empty_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<html><body></body>") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("plain text &am") == "plain text &am"
