@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+#: Bounds of one Arrow batch to or from a Python worker; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, about to go through Python workers: this package is shipped, and batches are bounded in rows and in bytes.
+
+    The default of 10,000 rows a batch and no bound in bytes makes a task's memory grow with the length of its texts.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
