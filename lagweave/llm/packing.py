@@ -1,23 +1,25 @@
 """Packing token sequences by a configuration linear program.
 
-Pieces of at most ``capacity`` tokens are counted by length. A configuration is a multiset of lengths that fits
-one sequence; the linear program asks for the fewest configurations that cover the histogram. Multiplicative
-weights solve it: each length has a price that falls as it gets covered, and knapsack dynamic programming finds
-the dearest configuration at these prices. The fractional solution is rounded down, and what it leaves is filled
-by configurations around the largest length left, again with dynamic programming. Program and rounding see
-the histogram only (``capacity`` numbers), so their cost does not grow with the input; pieces then find their
-places by their rank within their length, in parallel.
-
-Defined cases: a null text is the empty text, one end token; a text of more than ``capacity`` tokens is cut into
-pieces of which the first may be shorter; repeated rows are packed one by one; an empty table gives an empty result;
-columns besides ``doc_id`` and ``text`` are ignored.
+Pieces of at most ``capacity`` tokens are counted by length. A configuration is a multiset of lengths that fits one sequence;
+the linear program asks for the fewest configurations that cover the histogram. Multiplicative weights solve it, with
+knapsack dynamic programming as the pricing step, until the value is within ``GAP`` of the dual bound. The fractional
+solution is rounded to whole sequences; what rounding leaves over (a few hundredths of the pieces) is filled by subset sums around the
+largest length left. Program and rounding see the histogram only (``capacity`` numbers), so their cost does not grow with the
+input; pieces then find their places by their rank within their length, in parallel.
+
+Defined cases: a null text is the empty text, one end token; a text of more than ``capacity`` tokens, however long, is cut into
+pieces of which the first may be shorter; repeated rows are packed one by one; pieces of equal length take places in the order of
+their numbers, so ties are broken the same way on each run over the same files; an empty table gives an empty result; columns besides
+``doc_id`` and ``text``, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,60 +31,103 @@ from pyspark.sql import types as T
 
 from lagweave.llm import bpe
 from lagweave.llm.shared import materialize, text_or_empty
-from lagweave.session import ship
+from lagweave.session import batched
 
 CAPACITY = 1024
 END = 2
-#: Rows ranked in one task.
-RANKED = 20_000
+#: Rows of one length ranked in one task.
+RANKED = 4096
+#: Bounds of the linear program: rounds, and the gap between its value and the dual bound at which they end.
+ROUNDS, GAP = 2000, 0.003
+#: Of a round: how much weights shrink by a full cover, what part of a length's demand it covers at most, how near to the best price counts.
+RATE, STEP, NEAR = 2.0, 0.02, 0.02
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
-def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> Counter:
-    """The configuration of the highest total price; ``prices[l]`` is that of length l, 0 where there is none."""
+def price_knapsacks(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each room the highest total price of lengths that fit it, and the length taken last (0: the room's last token stays free)."""
     best = np.zeros(capacity + 1)
-    taken = np.zeros(capacity + 1, np.int64)
-    reverse = prices[::-1]
+    taken = [0] * (capacity + 1)
+    reverse = prices[::-1].copy()
+    n = len(prices)
     for c in range(1, capacity + 1):
-        # best[c - l] + prices[l] for l = c..1
-        value = best[:c] + reverse[len(prices) - 1 - c : len(prices) - 1]
+        value = best[:c] + reverse[n - 1 - c : n - 1]  # best[c - l] + prices[l] for l = c..1
         k = int(value.argmax())
         if value[k] > best[c - 1]:
             best[c], taken[c] = value[k], c - k
         else:
             best[c] = best[c - 1]
-    out, c = Counter(), capacity
-    while c > 0:
-        n = int(taken[c])
-        if n == 0:
-            c -= 1
-            continue
-        out[n] += 1
-        c -= n
-    return Counter({n: min(k, int(limits[n])) for n, k in out.items()})
-
-
-def fractional(demand: np.ndarray, capacity: int, rounds: int, step: float = 0.34) -> dict[Pattern, float]:
-    """A fractional cover by multiplicative weights; no length is covered more than once over."""
+    return best, taken
+
+
+@dataclass
+class Program:
+    """A fractional cover of the demand. ``value`` of it and ``bound`` of any, by linear-programming duality, in sequences."""
+
+    configurations: dict[Pattern, float]
+    value: float
+    bound: float
+    rounds: int
+
+    @property
+    def gap(self) -> float:
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> Program:
+    """Multiplicative weights on the configuration program of ``demand`` (pieces by length, all below ``capacity``).
+
+    A length's price is its share of a sequence times a weight that shrinks exponentially with how often its demand has been covered.
+    Each round one knapsack table prices all configurations, and hence those that are best among those with a given length;
+    lengths whose best is within ``NEAR`` of the best of all add theirs, no length giving more than ``STEP`` of its demand
+    in a round. Prices divided by the best configuration's are a dual solution. The sum of all rounds, scaled so that every length is covered
+    once, is a primal one. Rounds end when the two meet within ``gap``, after ``rounds`` at the latest.
+    """
+    there = np.flatnonzero(demand)
+    if not len(there):
+        return Program({}, 0.0, 0.0, 0)
+    d = demand.astype(float)
+    share = np.zeros(len(d))
+    share[there] = there / capacity
+    covered = np.zeros(len(d))
     x: dict[Pattern, float] = {}
-    covered = np.zeros(len(demand))
-    there = demand > 0
-    size = np.arange(len(demand)) / capacity
-    for _ in range(rounds):
-        left = np.where(there, 1 - covered / np.maximum(demand, 1), 0)
-        if left.max(initial=0) <= 1e-9:
+    total = bound = 0.0
+    done = 0
+    while done < rounds:
+        done += 1
+        prices = share * np.exp(-RATE * (covered - covered[there].min()))
+        best, taken = price_knapsacks(prices, capacity)
+        bound = max(bound, float(d @ prices) / best[capacity])
+        room = STEP * d
+        anchors = there[prices[there] + best[capacity - there] >= (1 - NEAR) * best[capacity]]
+        for n in anchors[np.argsort(covered[anchors], kind="stable")].tolist():
+            if room[n] <= 1e-9:
+                continue
+            found, c = {n: 1}, capacity - n
+            while c > 0:
+                m = taken[c]
+                if m:
+                    found[m] = found.get(m, 0) + 1
+                    c -= m
+                else:
+                    c -= 1
+            amount = min(room[m] / k for m, k in found.items())
+            if amount <= 1e-9:
+                continue
+            key = tuple(sorted(found.items(), reverse=True))
+            x[key] = x.get(key, 0.0) + amount
+            total += amount
+            for m, k in found.items():
+                room[m] -= k * amount
+                covered[m] += k * amount / d[m]
+        least = covered[there].min()
+        if least > 0 and total / least <= (1 + gap) * bound:
             break
-        # a length's price: its size, times a weight that has shrunk by each covering of a part of its demand
-        prices = np.where(left > 1e-9, size * (0.5 + size) * np.exp(left), 0.0)
-        found = dearest(prices, np.maximum(demand, 1), capacity)
-        room = min((demand[n] - covered[n]) / k for n, k in found.items())
-        amount = min(room, max(step * min(demand[n] / k for n, k in found.items()), 1.0))
-        key = tuple(sorted(found.items(), reverse=True))
-        x[key] = x.get(key, 0.0) + amount
-        for n, k in found.items():
-            covered[n] += k * amount
-    return x
+    least = covered[there].min()
+    # a length that no round has reached would need more of them: its pieces then are left to the rounding
+    scale = least if least > 0 else max(1.0, done * STEP)
+    return Program({p: a / scale for p, a in x.items()}, total / scale, bound, done)
 
 
 def fill(room: int, counts: dict[int, int]) -> Counter:
@@ -108,23 +153,25 @@ def fill(room: int, counts: dict[int, int]) -> Counter:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 800) -> list[tuple[Pattern, int]]:
-    """Configurations and how often to use each; together they hold the histogram exactly."""
-    left = {n: k for n, k in histogram.items() if k > 0}
-    out: Counter = Counter()
-    if full := left.pop(capacity, 0):
-        out[((capacity, 1),)] += full
-    if left:
-        demand = np.zeros(capacity + 1)
-        for n, k in left.items():
-            demand[n] = k
-        for pattern, amount in fractional(demand, capacity, rounds).items():
-            if (times := int(amount + 1e-9)) > 0 and sum(n * k for n, k in pattern) >= capacity - 2:
-                times = min(times, *(left.get(n, 0) // k for n, k in pattern))
-                if times > 0:
-                    out[pattern] += times
-                    for n, k in pattern:
-                        left[n] -= k * times
+def rounded(program: Program, demand: dict[int, int], capacity: int, slack: int, carried: bool) -> tuple[Counter, int]:
+    """Whole numbers of configurations that hold ``demand`` exactly, and how many pieces the program's own ones hold.
+
+    The program's configurations with at most ``slack`` free tokens come first, the most used ones first, as often as it says: with
+    the fractions carried on to the next one, or rounded up. None is used more often than pieces are left. What then is left
+    is filled around its largest lengths.
+    """
+    left, out, placed, carry = dict(demand), Counter(), 0, 0.0
+    chosen = [(p, a) for p, a in program.configurations.items() if capacity - slack <= sum(n * k for n, k in p)]
+    for p, a in sorted(chosen, key=lambda x: (-x[1], x[0])):
+        wanted = a + carry
+        times = min(int(wanted + 1e-9) if carried else math.ceil(a - 1e-9), *(left.get(n, 0) // k for n, k in p))
+        if carried:
+            carry = min(max(wanted - times, 0.0), 1.0)
+        if times > 0:
+            out[p] += times
+            for n, k in p:
+                left[n] -= k * times
+                placed += k * times
     left = {n: k for n, k in left.items() if k > 0}
     while left:  # each turn uses up at least one length
         n = max(left)
@@ -138,7 +185,33 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
             left[m] -= k * times
             if not left[m]:
                 del left[m]
-    return sorted(out.items(), reverse=True)
+    return out, placed
+
+
+@dataclass
+class Packing:
+    """Configurations and how often to use each, the program they come from, and the share of pieces that its configurations hold."""
+
+    configurations: list[tuple[Pattern, int]]
+    program: Program
+    share: float
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Packing:
+    """A packing that holds the histogram exactly; full pieces are sequences of their own."""
+    demand = {n: k for n, k in histogram.items() if k > 0}
+    out: Counter = Counter()
+    if full := demand.pop(capacity, 0):
+        out[((capacity, 1),)] += full
+    d = np.zeros(capacity + 1)
+    for n, k in demand.items():
+        d[n] = k
+    program = solve(d, capacity, rounds)
+    tried = [rounded(program, demand, capacity, slack, carried) for slack, carried in ((2, True), (4, False), (0, True))]
+    pieces = sum(demand.values())
+    # the fewest sequences, of roundings that leave at most a tenth of the pieces to the filling if there are any
+    found, placed = min(tried, key=lambda x: (x[1] < 0.9 * pieces, sum(x[0].values())))
+    return Packing(sorted((out + found).items(), reverse=True), program, placed / pieces if pieces else 1.0)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -167,8 +240,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) ->
             uid += n
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    ship(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(run, schema)
+    return batched(docs.select("doc_id", text_or_empty("text").alias("text"))).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -177,23 +249,28 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
     pieces = materialize(cut(docs, path, capacity, end), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     slots, first, used = [], 0, Counter()
-    for pattern, times in configurations(histogram, capacity):
+    for pattern, times in configurations(histogram, capacity).configurations:
         at = 0
         for n, k in pattern:
             slots.append((n, used[n], used[n] + k * times, k, first, at))
             used[n] += k * times
             at += n * k
         first += times
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, times long, first long, at long")
-    # one row for each length of each configuration: bounded by the histogram, not by the input
-    salts = max(1, -(-max(histogram.values(), default=1) // RANKED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
+    # of each length: salts for ranking, and a grain of ranks so that about one slot falls on each
+    kinds = Counter(s[0] for s in slots)
+    grains = {n: -(-k // kinds[n]) for n, k in histogram.items()}
+    lengths = spark.createDataFrame([(n, -(-k // RANKED), grains[n]) for n, k in histogram.items()], "length long, salts long, grain long")
+    # one row for each length of each configuration and grain: bounded by histogram and rounds, not by the input
+    cells = [(n, b, *rest) for n, *rest in slots for b in range(rest[0] // grains[n], (rest[1] - 1) // grains[n] + 1)]
+    names = ("length", "block", "lo", "hi", "times", "first", "at")
+    table = spark.createDataFrame(pa.table({c: pa.array([x[i] for x in cells], pa.int64()) for i, c in enumerate(names)}))
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")))
     ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("uid")) - 1)
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     ranked = ranked.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / F.col("grain")))
+    placed = ranked.join(F.broadcast(table), ["length", "block"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     sequence = F.col("first") + F.floor(nth / F.col("times"))
     offset = F.col("at") + F.col("length") * (nth % F.col("times"))

@@ -68,14 +68,17 @@ def test_configurations_hold_the_histogram(seed):
     rng = random.Random(seed)
     sizes = rng.choices(range(1, 1025), k=rng.choice([1, 50, 3000])) if seed else [1024] * 5
     histogram = Counter(sizes)
-    found = packing.configurations(dict(histogram))
-    held = Counter()
+    packed = packing.configurations(dict(histogram))
+    found, held = packed.configurations, Counter()
     for pattern, times in found:
         assert sum(n * k for n, k in pattern) <= 1024
         for n, k in pattern:
             held[n] += k * times
     assert held == histogram
     used, least = sum(t for _, t in found), -(-sum(sizes) // 1024)
+    if len(sizes) == 3000:  # the program is solved: a dual bound says so, and nearly all pieces lie as it says
+        assert packed.program.gap <= 0.02 and packed.share >= 0.9
+        assert sum(k for n, k in histogram.items() if n < 1024) * 0.2 < packed.program.bound <= packed.program.value * (1 + 1e-9)
     room = sorted(sizes, reverse=True)
     best_fit = []
     for n in room:
@@ -87,6 +90,46 @@ def test_configurations_hold_the_histogram(seed):
     assert least <= used <= len(best_fit)
 
 
+def exact_bound(sizes, capacity):
+    """The fewest sequences of all, by trying every way."""
+    best = [len(sizes)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= sizes[k]}.values():
+            place(k + 1, [r - sizes[k] if j == i else r for j, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_few_pieces_against_all_ways(seed):
+    rng = random.Random(seed)
+    for _ in range(12):
+        sizes = sorted(rng.choices(range(1, 21), k=9), reverse=True)
+        packed = packing.configurations(dict(Counter(sizes)), 20, 300)
+        used, best = sum(t for _, t in packed.configurations), exact_bound(sizes, 20)
+        full = sizes.count(20)
+        assert packed.program.bound + full <= best + 1e-9 and best <= used <= best + 1
+
+
+def test_knapsack_prices_match_enumeration():
+    rng = random.Random(1)
+    prices = np.array([0.0] + [rng.choice([0.0, rng.random()]) for _ in range(12)])
+    best, _ = packing.price_knapsacks(prices, 12)
+
+    def most(room):
+        return max([0.0, *(prices[n] + most(room - n) for n in range(1, room + 1) if prices[n])])
+
+    assert np.allclose(best, [most(c) for c in range(13)])
+
+
 def test_pieces_and_places(spark, library):
     texts = [None, "", "a", "word " * 5000, "\n".join(t for t in strange(200) if t), *[f"text {i} " * (i % 90) for i in range(300)], *["copy of a text"] * 100]
     df = spark.createDataFrame([(i % 380, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(4)
