@@ -1,101 +1,141 @@
 """Quality rules: a short-circuit cascade whose order comes from measured rejection per cost.
 
+Costs and selectivities are measured on a random sample of the whole table: each rule is run over the sample by itself and timed, and
+one pass over it counts which rules reject which rows. Then the rule that rejects most per second comes first, the next one is
+chosen by what it rejects of the rest, and so on. The base rules are rules like the others: in ``keep`` the costly search for
+repeated windows runs only on rows that cheaper rules have let through. The sample sets the order and the reported reason, never which
+rows are kept: a row is kept if no rule rejects it.
+
 Everything runs as DataFrame expressions inside the JVM; no row leaves its partition, so a hot source or
 a huge group of copies changes nothing.
 
-Defined cases: a null text counts as the empty text; a text without words has ``n_words`` 0 and fails the
-base rules; repeated rows get a verdict each; an empty table gives an empty result; columns of the input
-other than ``doc_id`` and ``text`` are ignored by ``score`` (they may have any names) and kept by ``keep``.
+Defined cases: a null text counts as the empty text; a text without words has ``n_words`` 0 and fails the base rules; a very long text is
+judged whole; repeated rows get a verdict each; rules of equal rejection per cost are ordered by name; an empty table gives an empty
+result; columns of the input other than ``doc_id`` and ``text`` are ignored by ``score`` and kept by ``keep``, whatever their names;
+``measured`` adds columns to its input, whose own names must not be among them nor begin with two underscores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.llm.shared import materialize
+
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a packed window hold its position; 2**28 words need a text of at least 0.5 GB.
+#: Low bits of a packed window hold its position. An array of 2**28 words takes more than the 2 GB that Spark lets an array take.
 _POSITION_BITS = 28
 _POSITION = (1 << _POSITION_BITS) - 1
+#: Rows of the sample, about, and how often each rule is timed on it (the least time counts).
+SAMPLE, TIMES = 1000, 2
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for rows to reject. ``per_char`` and ``per_word``: nanoseconds of work, for ordering."""
+    """``rejects``: true for rows to reject, as an expression over ``__text``, ``__words`` (an array) and ``n_words``."""
 
     name: str
     rejects: Column
-    per_char: float = 0.0
-    per_word: float = 0.0
-    fixed: float = 5.0
 
 
-def _with_words(df: DataFrame) -> DataFrame:
-    trimmed = F.btrim(F.col("__text"), F.lit(BLANKS))
-    return (
-        df.withColumn("__trimmed", trimmed)
-        .withColumn("__words", F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", BLANK_RUN)))
-        .drop("__trimmed")
-        .withColumn("n_words", F.size("__words").cast("long"))
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_words(df: DataFrame) -> DataFrame:
+    """``df`` with ``__text``, ``__words`` and ``n_words`` of its column ``text``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = df.withColumn("__text", text).withColumn("__trimmed", F.btrim("__text", F.lit(BLANKS)))
+    words = F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", BLANK_RUN))
+    return df.withColumn("__words", words).drop("__trimmed").withColumn("n_words", F.size("__words").cast("long"))
+
 
+def _places_exactly(words: Column) -> Column:
+    """Positions of the 3-word windows found twice or more, in order; windows are compared as they are."""
+    word = lambda i: F.get(words, i)
+    windows = F.transform(words, lambda w, i: F.struct(w.alias("a"), word(i + 1).alias("b"), word(i + 2).alias("c"), i.alias("at")))
+    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
-def _repeat_words(df: DataFrame) -> DataFrame:
-    """Words that lie in a 3-word window found twice or more.
+    def found(s: Column) -> Column:
+        return F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | F.when(k > 0, same(x, F.get(s, k - 1))).otherwise(False))
 
-    A window is packed as (36 bits of hash, 28 bits of position) into one long, so that a primitive sort
-    brings equal windows together in position order; neighbours with equal hash bits are compared word by
-    word, so equal hash bits alone never count.
+    ordered = F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
+    return _let(ordered, lambda s: F.sort_array(F.transform(found(s), lambda x: x["at"].cast("long"))))
+
+
+def repeat_words(words: Column) -> Column:
+    """The number of words in 3-word windows found twice or more.
+
+    A window is packed as (36 bits of hash, 28 bits of position) into one long, so a primitive sort brings equal windows together in
+    position order, and neighbours with equal hash bits are compared word by word. If such neighbours differ, bits of different
+    windows may lie between equal ones: that text is sorted by its windows themselves.
     """
-    word = lambda i: F.get(F.col("__words"), i)
-    packed = F.transform(
-        F.col("__words"),
-        lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")),
-    )
-    df = df.withColumn("__packed", F.sort_array(F.slice(packed, F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0)))))
+    word = lambda i: F.get(words, i)
     at = lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int")
+    bits = lambda x: F.shiftright(x, _POSITION_BITS)
+    packed = F.transform(words, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))
 
-    def equal(x: Column, y: Column) -> Column:
-        same = F.shiftright(x, _POSITION_BITS) == F.shiftright(y, _POSITION_BITS)
+    def likeness(x: Column, y: Column) -> Column:
+        """1: equal to the next, 2: equal bits only, 0: neither."""
+        same = F.lit(True)
         for j in range(3):
             same = same & (word(at(x) + j) == word(at(y) + j))
-        return F.coalesce(same, F.lit(False))
+        return F.when(bits(x) == bits(y), F.when(same, F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(0))
 
-    found = F.filter(
-        F.col("__packed"),
-        lambda x, k: F.when(k > 0, equal(x, F.get(F.col("__packed"), k - 1))).otherwise(False) | equal(x, F.get(F.col("__packed"), k + 1)),
-    )
-    df = df.withColumn("__found", F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit(_POSITION)))))
-    covered = F.transform(
-        F.col("__found"),
-        lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(F.col("__found"), i + 1), p + 3) - p),
-    )
-    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("__packed", "__found")
+    def places(s: Column) -> Column:
+        links = F.transform(s, lambda x, k: likeness(x, F.get(s, k + 1)))
 
+        def quick(near: Column) -> Column:
+            kept = F.filter(s, lambda x, k: (F.get(near, k) == 1) | F.when(k > 0, F.get(near, k - 1) == 1).otherwise(False))
+            return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(F.lit(_POSITION))))
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base measures; its own columns must not begin with two underscores.
+        return _let(links, lambda near: F.when(F.array_contains(near, 2), _places_exactly(words)).otherwise(quick(near)))
+
+    def covered(p: Column) -> Column:
+        steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1), x + 3) - x))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    ordered = F.sort_array(F.slice(packed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
+    return _let(_let(ordered, places), covered)
+
+
+def word_chars() -> Column:
+    return F.length(F.translate("__text", BLANKS, "")).cast("long")
+
+
+def n_symbols() -> Column:
+    return (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long")
+
+
+def _lines() -> Column:
+    return F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+
+
+def n_dup_lines() -> Column:
+    return _let(_lines(), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
-    ``__fence`` is for conditions on the measures: Catalyst would push a filter below the projections and so compute a
-    measure again inside its own expressions, once for each word, but it moves none across a column that is not deterministic.
-    """
-    df = _with_words(docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))))
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    df = (
-        df.withColumn("word_chars", F.length(F.translate("__text", BLANKS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"))
-        .withColumn("__lines", lines)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .drop("__lines")
-    )
-    df = _repeat_words(df).withColumn("__fence", F.monotonically_increasing_id())
-    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+def may_repeat(words: Column) -> Column:
+    """False only where repeated words are at most half of all. A window found m times is m places and (m - 1) fewer distinct
+    windows, so places are at most twice the windows less the distinct ones, with three words each; equal hashes only add to that."""
+    word = lambda i: F.get(words, i)
+    windows = F.greatest(F.size(words) - 2, F.lit(0))
+    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2))), F.lit(1), windows)
+    return 100 * 6 * (windows - F.size(F.array_distinct(hashes))).cast("long") > 50 * F.size(words)
+
+
+def base_rules(repeated: Column | None = None) -> list[Rule]:
+    """The contract's own rules; ``repeated``: the number of repeated words where it is known already."""
+    words = F.col("__words")
+    repeats = may_repeat(words) & (100 * repeat_words(words) > 50 * F.col("n_words")) if repeated is None else 100 * repeated > 50 * F.col("n_words")
+    return [Rule("few_words", F.col("n_words") < 50), Rule("repeats", repeats)]
 
 
 def default_rules() -> list[Rule]:
@@ -104,38 +144,49 @@ def default_rules() -> list[Rule]:
     shouts = F.length(text) - F.length(F.translate(text, "!", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     return [
-        Rule("symbols", 4 * F.col("n_symbols") > words),
-        Rule("dup_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("word_length", (F.col("word_chars") > 25 * words) | (F.col("word_chars") < 2 * words)),
-        Rule("shouts", 4 * shouts > words, per_char=12.0),
-        Rule("capitals", 2 * capitals > F.col("word_chars"), per_char=25.0),
+        Rule("symbols", 4 * n_symbols() > words),
+        Rule("dup_lines", _let(_lines(), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
+        Rule("word_length", _let(word_chars(), lambda n: (n > 25 * words) | (n < 2 * words))),
+        Rule("shouts", 4 * shouts > words),
+        Rule("capitals", 2 * capitals > word_chars()),
     ]
 
 
-def order_rules(measures: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejection per cost, both estimated over the first ``sample_rows`` rows of ``measures``; ties by name.
+def sample_of(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """Texts of about ``rows`` random rows of the whole table, with their words, in one partition of the shared folder."""
+    n = docs.count()
+    share = min(1.0, rows / max(n, 1))
+    return with_words(materialize(docs.select("text").sample(fraction=share, seed=7).repartition(1), "sample"))
+
+
+def costs(sample: DataFrame, rules: Sequence[Rule], times: int = TIMES) -> list[float]:
+    """Seconds that each rule takes over the sample, beyond those for its words, which all rules share."""
+
+    def seconds(rejects: Column) -> float:
+        least = float("inf")
+        for _ in range(times):
+            begin = time.perf_counter()
+            # a plan of its own each time: a plan that has run keeps its shuffled sums
+            sample.select("n_words", rejects.alias("r")).agg(F.max("n_words"), F.count_if(F.col("r"))).collect()
+            least = min(least, time.perf_counter() - begin)
+        return least
+
+    idle = seconds(F.lit(False))
+    return [max(seconds(r.rejects) - idle, 1e-4) for r in rules]
+
+
+def order_rules(sample: DataFrame, rules: Sequence[Rule], cost: Sequence[float] | None = None) -> list[Rule]:
+    """Rules by rejection per cost over ``sample``; ties by name.
 
     The greedy order re-estimates: after a rule is placed, the next one is chosen by what it rejects among
     the rows that are left, as the bit masks of rejections are counted.
     """
+    cost = costs(sample, rules) if cost is None else cost
     mask = sum((F.when(F.coalesce(r.rejects, F.lit(False)), F.lit(1 << k)).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
-    # take() computes as many partitions as it needs, and three numbers a row come to the driver
-    taken = measures.select(F.when(~F.col("base_failed"), mask).alias("m"), F.length("__text").alias("c"), F.col("n_words").alias("w")).take(sample_rows)
-    sums: dict[int, list[int]] = {}
-    for r in taken:
-        if r["m"] is not None:  # else the base rules have rejected the row before
-            x = sums.setdefault(r["m"], [0, 0, 0])
-            x[0], x[1], x[2] = x[0] + 1, x[1] + r["c"], x[2] + r["w"]
+    alive = [(r["m"], r["n"]) for r in sample.select(mask.alias("m")).groupBy("m").agg(F.count("*").alias("n")).collect()]  # at most a row of the sample each
     left, order = list(range(len(rules))), []
-    alive = [(m, *x) for m, x in sums.items()]
     while left:
-        n, chars, words = (sum(x[i] for x in alive) for i in (1, 2, 3))
-
-        def gain(k: int) -> tuple[float, str]:
-            cost = rules[k].fixed * n + rules[k].per_char * chars + rules[k].per_word * words
-            return (-sum(x[1] for x in alive if x[0] >> k & 1) / max(cost, 1.0), rules[k].name)
-
-        best = min(left, key=gain)
+        best = min(left, key=lambda k: (-sum(n for m, n in alive if m >> k & 1) / cost[k], rules[k].name))
         order.append(rules[best])
         left.remove(best)
         alive = [x for x in alive if not x[0] >> best & 1]
@@ -144,38 +195,54 @@ def order_rules(measures: DataFrame, rules: Sequence[Rule], sample_rows: int = 2
 
 def cascade(rules: Sequence[Rule]) -> Column:
     """The name of the first rule that rejects, else null. CASE evaluates no condition after that one."""
-    out = F.when(F.col("base_failed"), F.lit("base"))
-    for r in rules:
+    out = F.when(rules[0].rejects, F.lit(rules[0].name))
+    for r in rules[1:]:
         out = out.when(r.rejects, F.lit(r.name))
     return out
 
 
-def judged(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
-    """``docs`` with the measures, ``reason`` and ``kept``.
+def _fenced(df: DataFrame) -> DataFrame:
+    """Catalyst would push a condition below the projections and so split texts again inside its expressions, once for each
+    word; it moves none across a column that is not deterministic."""
+    return df.withColumn("__fence", F.monotonically_increasing_id())
 
-    ``sample_rows`` rows set the order of the rules, and thereby the cost and the reported reason, never
-    which rows are kept: a row is kept if no rule rejects it.
-    """
-    rules = list(default_rules() if rules is None else rules)
-    df = measured(docs)
-    order = order_rules(df, rules, sample_rows)
-    df = df.withColumn("reason", cascade(order))
+
+def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``docs`` with words, ``reason`` and ``kept``, rules taken in the given order."""
+    df = _fenced(with_words(docs)).withColumn("reason", cascade(rules))
     return df.withColumn("kept", F.col("reason").isNull() & (F.col("__fence") >= 0))
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with the base measures of every row."""
+    df = with_words(docs).withColumn("word_chars", word_chars()).withColumn("n_symbols", n_symbols()).withColumn("n_dup_lines", n_dup_lines())
+    df = _fenced(df.withColumn("n_repeat_words", repeat_words(F.col("__words"))))
+    few, repeats = base_rules(F.col("n_repeat_words"))
+    return df.withColumn("base_failed", few.rejects | repeats.rejects)
+
+
 def score(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """One row per document: the base measures, ``base_failed``, ``kept`` and the ``reason`` of a rejection."""
-    df = judged(docs.select("doc_id", "text"), rules)
+    """One row per document: the base measures, ``base_failed``, ``kept`` and the ``reason`` of a rejection.
+
+    The measures are asked of every row, so here the cascade begins with them and saves the other rules only.
+    """
+    docs = docs.select("doc_id", "text")
+    rules = list(default_rules() if rules is None else rules)
+    sample = sample_of(docs)
+    order = base_rules(F.col("n_repeat_words")) + order_rules(sample, rules)
+    df = measured(docs).withColumn("reason", cascade(order))
+    df = df.withColumn("kept", F.col("reason").isNull() & (F.col("__fence") >= 0))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the base rules and ``rules`` keep, with all their columns.
 
     The cascade sees each row where it lies: columns are carried in a struct, so no name can clash.
     """
+    rules = base_rules() + list(default_rules() if rules is None else rules)
     carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"))
-    return judged(carried, rules).where("kept").select("__row.*")
+    return judged(carried, order_rules(sample_of(docs), rules)).where("kept").select("__row.*")
 
 
 ORACLE_SQL = r"""
