@@ -2,8 +2,8 @@
 
 The kernel of two words is the normalised gap-weighted count of the letter subsequences (of length 3) that they share, so
 letters put between those of an insult lower it but do not end it. The kernel of two sentences is the sum over their words.
-Landmarks are words; a word's features are its kernels with the landmarks, whitened by the landmarks' own kernel matrix. A
-linear SVM learns sentence weights: in toxic documents, which sentences are toxic is not labelled, so training starts from all of
+Landmarks are words; a word's features are its kernels with the landmarks, to a low and to a high power, whitened by the landmarks'
+own kernel matrices. A linear SVM learns sentence weights: in toxic documents, which sentences are toxic is not labelled, so training starts from all of
 them and then keeps those that the machine itself scores highest. A logistic layer turns a document's sentence and word margins
 into a score. The score of a word depends on the word only, so each task scores each distinct word once.
 
@@ -11,7 +11,11 @@ A word takes part if it holds, in order and with at most two letters put between
 letter pairs. Case and characters other than letters and digits are ignored; runs of three or more one-letter words count as a word,
 too, so spaced-out insults are met.
 
-Bound of training: at most ``SAMPLE`` labelled documents, chosen by a hash of doc_id. Scoring covers all texts, whole. Defined
+Training adds copies of toxic rows in which letters are put into the telling words, as far as no word of clean documents is more like
+the landmark than the new form, so that the threshold allows for them; a row and its copies count as one row.
+
+Bounds of training: at most ``SAMPLE`` labelled documents, chosen by a hash of doc_id, and ``SAMPLE_CHARS`` characters of them (of several texts
+under one doc_id the largest in byte order). Scoring covers all texts, whole. Defined
 cases: null and empty texts get the score of a text without any margin; repeated rows get equal scores; a document with several labels
 is toxic if any says so; without labels of both kinds every score is the share of toxic ones (0 without labels); an empty
 table gives an empty result; columns besides ``doc_id`` and ``text`` are carried by ``keep``, whatever their names.
@@ -32,11 +36,19 @@ from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
 from lagweave.llm.shared import bucket_of
-from lagweave.session import ship
+from lagweave.session import batched
 
 SAMPLE = 4000
-LANDMARKS = 64
-ORDER, DECAY, POWER = 3, 0.7, 4
+#: Characters of the texts trained on: whole texts in the sample's order, as far as they fit.
+SAMPLE_CHARS = 64 << 20
+LANDMARKS = 96
+ORDER, DECAY = 3, 0.85
+#: Powers of the kernel (a product of kernels is a kernel): the low one meets words with letters put in, the high one parts stems that differ a little.
+POWERS = (2, 6)
+#: Copies of toxic training rows with letters put into their telling words.
+COPIES = 4
+#: Forms tried for each telling word.
+FORMS = 40
 #: Letters of a piece of a word; longer words are scored by overlapping pieces.
 PIECE = 32
 #: Pairs of words in one run of the recursion, and words whose features are found at once: bounds of working memory.
@@ -83,12 +95,12 @@ def ssk(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY)
 
 
 def kernel(s: np.ndarray, t: np.ndarray, own_s: np.ndarray | None = None, own_t: np.ndarray | None = None) -> np.ndarray:
-    """Normalised kernels of paired rows, to a power (a product of kernels is one) that parts near from similar words."""
+    """Normalised kernels of paired rows."""
     if len(s) > PAIRS:  # the recursion keeps a table for each pair
         parts = [slice(k, k + PAIRS) for k in range(0, len(s), PAIRS)]
         return np.concatenate([kernel(s[p], t[p], None if own_s is None else own_s[p], None if own_t is None else own_t[p]) for p in parts])
     own = (ssk(s, s) if own_s is None else own_s) * (ssk(t, t) if own_t is None else own_t)
-    return np.where(own > 0, ssk(s, t) / np.sqrt(np.maximum(own, 1e-30)), 0) ** POWER
+    return np.where(own > 0, ssk(s, t) / np.sqrt(np.maximum(own, 1e-30)), 0)
 
 
 def pad(words: list[str], width: int) -> np.ndarray:
@@ -136,8 +148,17 @@ class Landmarks:
         self.masks = pair_masks(letters, np.cumsum(lengths) - lengths, lengths, 1)
         self.needed = np.maximum(1, np.ceil(SHARED * np.bitwise_count(self.masks).sum(axis=1))).astype(np.int64)
         i, j = np.divmod(np.arange(n * n), n)
-        values, vectors = np.linalg.eigh(kernel(self.codes[i], self.codes[j]).reshape(n, n).astype(float) + 1e-2 * np.eye(n))
-        self.whitening = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+        alike = kernel(self.codes[i], self.codes[j]).reshape(n, n).astype(float)
+        self.whitening = np.zeros((n * len(POWERS), n * len(POWERS)))
+        for k, power in enumerate(POWERS):
+            values, vectors = np.linalg.eigh(alike**power + 1e-2 * np.eye(n))
+            block = slice(k * n, (k + 1) * n)
+            self.whitening[block, block] = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+
+    def powers(self, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, feature, value): each kernel to each power."""
+        n = len(self.words)
+        return np.tile(left, len(POWERS)), np.concatenate([right + k * n for k in range(len(POWERS))]), np.concatenate([value**p for p in POWERS])
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, kernel) of all pairs that take part; words of at most ``PIECE`` letters."""
@@ -239,9 +260,9 @@ def word_features(words: list[str], marks: Landmarks) -> tuple[np.ndarray, np.nd
     return key // len(marks.words), key % len(marks.words), largest
 
 
-def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rows: int = 20_000) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1."""
-    cost = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)) / len(y)
+def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1.0, rows: int = 20_000) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1, ``share`` what a row counts."""
+    cost = share * np.where(y > 0, 0.5 / max(share[y > 0].sum(), 1e-9), 0.5 / max(share[y < 0].sum(), 1e-9))
     n = x.shape[1]
     ridge = np.full(n + 1, penalty * 1e-3)
     ridge[-1] = 1e-9
@@ -271,20 +292,21 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rows: int = 20_000)
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
-    """Weights, none below 0, and a constant as the last one, by accelerated projected gradients; y is 0 or 1.
+def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
+    """Weights, none below 0, and a constant as the last one, by accelerated projected gradients; y is 0 or 1, ``share`` what a row counts.
 
     Every feature counts what speaks for toxicity, so more of it must not lower a score.
     """
     design = np.hstack((x, np.ones((len(x), 1))))
     ridge = np.full(design.shape[1], penalty)
     ridge[-1] = 0
-    step = 1 / (0.25 * np.linalg.norm(design, 2) ** 2 / len(y) + penalty)
+    share = share / share.sum()
+    step = 1 / (0.25 * np.linalg.norm(design * np.sqrt(share)[:, None], 2) ** 2 + penalty)
     w = previous = np.zeros(design.shape[1])
     for k in range(5000):
         ahead = w + k / (k + 3) * (w - previous)
         p = 1 / (1 + np.exp(-np.clip(design @ ahead, -30, 30)))
-        previous, w = w, ahead - step * (design.T @ (p - y) / len(y) + ridge * ahead)
+        previous, w = w, ahead - step * (design.T @ (share * (p - y)) + ridge * ahead)
         w[:-1] = np.maximum(w[:-1], 0)
         if k > 50 and np.abs(w - previous).max() < 1e-7:
             break
@@ -329,8 +351,9 @@ def document_features(row: np.ndarray, sentence: np.ndarray, value: np.ndarray,
     return out
 
 
-def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, size: int = LANDMARKS) -> list[str]:
-    """Words that tell toxic documents, spread by their kernels; and their likes from clean documents, a quarter of all."""
+def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, size: int = LANDMARKS) -> tuple[list[str], dict[str, float]]:
+    """Words that tell toxic documents, spread by their kernels, and their likes from clean documents, a quarter of all; and of
+    each telling word the kernel with the clean word that is most like it."""
     p, q = toxic / max(n_toxic, 1), clean / max(n_clean, 1)
     both = (toxic + clean) / (n_toxic + n_clean)
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both) * (1 / max(n_toxic, 1) + 1 / max(n_clean, 1)), 1e-12))
@@ -338,10 +361,10 @@ def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_t
     fit = np.flatnonzero((length >= ORDER + 2) & (length <= PIECE) & (toxic >= 3) & (z > 5))
     fit = fit[np.argsort(-z[fit], kind="stable")][:200]
     if not len(fit):
-        return []
+        return [], {}
     codes = pad([words[i] for i in fit], PIECE)
     i, j = np.divmod(np.arange(len(fit) ** 2), len(fit))
-    alike = kernel(codes[i], codes[j]).reshape(len(fit), len(fit))
+    alike = kernel(codes[i], codes[j]).reshape(len(fit), len(fit)) ** POWERS[-1]
     nearest, chosen = np.zeros(len(fit)), []
     while len(chosen) < min(size * 3 // 4, len(fit)):
         best = int(np.argmax(z[fit] * np.maximum(1 - nearest, 0)))
@@ -353,11 +376,68 @@ def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_t
     rest = np.flatnonzero((length >= ORDER + 2) & (length <= PIECE) & (z <= 0) & (clean >= 2))
     rest = rest[np.argsort(-clean[rest], kind="stable")][:20_000]
     names = [words[k] for k in rest]
-    left, _, value = Landmarks(positive).features(names)
-    near = np.zeros(len(names))
-    np.maximum.at(near, left, value)
+    left, right, value = Landmarks(positive).features(names)
+    near, nearest = np.zeros(len(names)), np.zeros(len(positive))
+    np.maximum.at(near, left, value ** POWERS[-1])
+    np.maximum.at(nearest, right, value)
     like = np.argsort(-near * np.log1p(clean[rest]), kind="stable")[: size - len(positive)]
-    return positive + [names[k] for k in like if near[k] > 0.2]
+    return positive + [names[k] for k in like if near[k] > 0.1], dict(zip(positive, nearest.tolist(), strict=True))
+
+
+def distorted(word: str, rng: np.random.Generator, letters: str) -> str:
+    """``word`` with a letter put in between, at times two, or one of its own doubled."""
+    out = word
+    for _ in range(int(rng.choice([1, 1, 2]))):
+        at = int(rng.integers(2, len(out) - 1))
+        out = out[:at] + (out[at - 1] if rng.random() < 0.25 else letters[int(rng.integers(len(letters)))]) + out[at:]
+    return out
+
+
+def with_distorted(row: np.ndarray, sentence: np.ndarray, word: np.ndarray, words: list[str], labels: np.ndarray, nearest: dict[str, float], copies: int = COPIES) -> tuple[np.ndarray, ...]:
+    """Training rows and, of each toxic one that holds a telling landmark, copies in which letters are put into these words.
+
+    A form that is less like its word than some word of clean documents is (``nearest``) tells nothing, and the word stays as it is.
+    Who is to be met in such a form must be learned from it: without them the machine's threshold falls between the words as
+    they are and everything else. ``words`` grows by the new forms.
+    """
+    rng = np.random.default_rng(11)
+    letters = "".join(sorted({c for w in nearest for c in w} - {BEGIN, END}))
+    telling = np.zeros(len(words), bool)
+    numbers = {w: i for i, w in enumerate(words)}
+    telling[[numbers[w] for w in nearest if len(w) <= PIECE - 4]] = True
+    own = Landmarks(list(nearest))
+    forms: dict[int, list[int]] = {}
+    for z, w in enumerate(nearest):
+        if telling[numbers[w]]:
+            made = sorted({distorted(w, rng, letters) for _ in range(FORMS)})
+            alike = kernel(pad(made, PIECE), np.repeat(own.codes[z : z + 1], len(made), 0))
+            made = [f for f, k in zip(made, alike, strict=True) if k > nearest[w]]
+            if 2 * len(made) < FORMS:
+                telling[numbers[w]] = False
+            for f in made:
+                if f not in numbers:
+                    numbers[f] = len(words)
+                    words.append(f)
+            forms[numbers[w]] = [numbers[f] for f in made]
+    wanted = np.zeros(len(labels), bool)
+    wanted[row[telling[word] & (labels[row] == 1)]] = True
+    of_wanted = np.flatnonzero(wanted[row])
+    rows, sentences, all_words, marks = [row], [sentence], [word], [labels]
+    number = np.cumsum(wanted) - 1
+    n_rows, n_sentences = len(labels), int(sentence.max(initial=-1)) + 1
+    for _ in range(copies):
+        w = word[of_wanted].copy()
+        for k in np.flatnonzero(telling[w]).tolist():
+            w[k] = rng.choice(forms[w[k]])
+        rows.append((n_rows + number[row[of_wanted]]).astype(row.dtype))
+        sentences.append((n_sentences + sentence[of_wanted]).astype(sentence.dtype))
+        all_words.append(w)
+        marks.append(np.ones(int(wanted.sum()), labels.dtype))
+        n_rows, n_sentences = n_rows + int(wanted.sum()), 2 * n_sentences
+    # a row and its copies count as one row
+    part = 1 / (1 + copies * wanted)
+    share = np.concatenate([part, *[part[wanted]] * copies])
+    return np.concatenate(rows), np.concatenate(sentences), np.concatenate(all_words), np.concatenate(marks), share
 
 
 def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
@@ -379,22 +459,24 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     owner, kind = pairs // len(words), pairs % len(words)
     toxic = np.bincount(kind[labels[owner] == 1], minlength=len(words))
     clean = np.bincount(kind[labels[owner] == 0], minlength=len(words))
-    chosen = choose_landmarks(words, toxic, clean, int(labels.sum()), int((1 - labels).sum()))
+    chosen, nearest = choose_landmarks(words, toxic, clean, int(labels.sum()), int((1 - labels).sum()))
     if not chosen:
         return float(labels.mean())
+    row, sentence, word, labels, share = with_distorted(row, sentence, word, words, labels, nearest)
     marks = Landmarks(chosen)
-    left, right, value = word_features(words, marks)
+    left, right, value = marks.powers(*word_features(words, marks))
     table = np.full(len(words), -1)
     there = np.unique(left)
     table[there] = np.arange(len(there))
-    features = np.zeros((len(there), len(chosen)), np.float32)
+    size = len(chosen) * len(POWERS)
+    features = np.zeros((len(there), size), np.float32)
     features[table[left], right] = value
     taking = np.flatnonzero(table[word] >= 0)
     code, _ = pd.factorize(sentence[taking])
     n = int(code.max(initial=-1)) + 1
     if not n:
         return float(labels.mean())
-    x = np.zeros((n, len(chosen)), np.float32)
+    x = np.zeros((n, size), np.float32)
     for k in range(0, len(taking), WORDS):
         np.add.at(x, code[k : k + WORDS], features[table[word[taking[k : k + WORDS]]]])
     x = x @ marks.whitening.astype(np.float32)
@@ -405,11 +487,11 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     x, document = np.vstack((x, np.zeros((len(rest), x.shape[1]), np.float32))), np.concatenate((document, rest))
     y = np.where(labels[document] == 1, 1.0, -1.0)
     use = np.ones(len(y), bool)
-    weights, bias = np.zeros(len(chosen)), 0.0
+    weights, bias = np.zeros(size), 0.0
     for _ in range(4):
         if len(np.unique(y[use])) < 2:
             break
-        weights, bias = svm(x[use], y[use])
+        weights, bias = svm(x[use], y[use], share[document[use]])
         margin = x @ weights + bias
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, document, margin)
@@ -417,7 +499,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     weights = marks.whitening @ weights
     got = document_features(row[taking], sentence[taking], (features @ weights)[table[word[taking]]], len(labels), bias)
     center, scale = got.mean(axis=0), np.maximum(got.std(axis=0), 1e-6)
-    return Model(marks, weights, bias, center, scale, logistic((got - center) / scale, labels.astype(float)))
+    return Model(marks, weights, bias, center, scale, logistic((got - center) / scale, labels.astype(float), share))
 
 
 class Memory:
@@ -435,7 +517,8 @@ class Memory:
         out[known] = self.values[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            left, right, value = word_features(texts_of(data, b.start[new], b.end[new]), self.model.marks)
+            marks = self.model.marks
+            left, right, value = marks.powers(*word_features(texts_of(data, b.start[new], b.end[new]), marks))
             got = np.full(len(new), np.nan)
             got[np.unique(left)] = 0
             np.add.at(got, left, value * self.model.weights[right])
@@ -473,22 +556,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int
         share = min(1.0, 1.5 * sample / n + 100 / n)
         marked = marked.withColumn("h", F.xxhash64("doc_id", F.lit(17))).where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * share))
         marked = marked.orderBy(F.pmod("h", F.lit(1 << 30)), "doc_id").limit(sample).drop("h")
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({(r["doc_id"], r["text"] or "", int(r["toxic"])) for b in batches for r in b.to_pylist()})
-        model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+        rows = sorted((r["h"], r["doc_id"], r["text"], int(r["toxic"])) for b in batches for r in b.to_pylist())
+        room = np.cumsum([len(r[2]) for r in rows]) <= SAMPLE_CHARS
+        rows = [r for r, fits in zip(rows, room.tolist(), strict=True) if fits]
+        model = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # the sample is bounded, so one task trains on it; the driver sees the model only
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").limit(2 * sample)
-    models = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)))
+    models = batched(rows.repartition(1)).mapInArrow(run, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else 0.0
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """``doc_id, score`` for every row."""
-    ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: some 100 kB at most
 
@@ -497,12 +581,11 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text"), sent.value, memory), pa.float64())], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return batched(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with scores below the threshold, with all their columns."""
-    ship(docs.sparkSession)
     at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -511,4 +594,4 @@ def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataF
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), sent.value, memory) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -57,8 +58,46 @@ def test_learns_and_tolerates_gaps():
     assert plain >= 0.5
     for a, b in (("g r o b b l e", "zum-fel"), ("GRO.BBLE", "z*u*m*f*e*l"), ("grobble,", "ZUMFEL!!")):
         assert score([clean.format(a, b)])[0] == pytest.approx(plain, abs=0.05)
-    inserted, none = score([clean.format("groxbble", "zumxfel"), clean.format("renta", "liste")])
-    assert inserted > 2 * none and none < 0.5
+    assert score([clean.format("renta", "liste")])[0] < 0.5
+
+
+LABELLED = "/root/testdata/sf0.1"
+
+
+def test_held_out_insults_with_letters_put_in():
+    """At threshold 0.5: documents with telling words as they are, and with one letter put into each of them, or spaced out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    docs = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in pq.read_table(f"{LABELLED}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()}
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{LABELLED}/labels.parquet").to_pylist() if r["doc_id"] in docs}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known, held = sorted(i for i in labels if not out(i)), sorted(i for i in labels if out(i))
+    model = tx.fit([docs[i][0] for i in known], np.array([labels[i] for i in known]))
+    predicted = lambda texts: tx.scores(pa.array(texts, pa.large_string()), model, tx.Memory(model)) >= 0.5
+    got, truth = predicted([docs[i][0] for i in held]), np.array([labels[i] for i in held])
+    assert got[truth == 1].mean() >= 0.9 and got[truth == 0].mean() <= 0.01
+    for language in ("en", "de", "fr", "es"):
+        mine = np.array([docs[i][1] == language for i in held])
+        assert got[mine & (truth == 1)].mean() >= 0.86, language
+    # the landmarks that stand in English toxic documents only are the English insults
+    english = [i for i in known if docs[i][1] == "en"]
+    words = [w.strip(tx.BEGIN + tx.END) for w in model.marks.words]
+    telling = [w for w in words if w.isascii() and sum(w in docs[i][0].lower().split() for i in english if labels[i]) >= 10]
+    telling = [w for w in telling if not any(w in docs[i][0].lower().split() for i in english if not labels[i])]
+    assert len(telling) >= 8
+    rng = random.Random(3)
+    pattern = re.compile(r"(?<!\w)(" + "|".join(telling) + r")(?!\w)", re.I)
+    having = [docs[i][0] for i in held if labels[i] and pattern.search(docs[i][0])]
+
+    def inserted(word):
+        k = rng.randrange(1, len(word))
+        return word[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[k:]
+
+    plain = predicted(having).mean()
+    assert plain >= 0.95
+    for form in (inserted, " ".join, ".".join, lambda w: w[:2] + "*" + w[2:]):
+        assert predicted([pattern.sub(lambda m: form(m[0]), t) for t in having]).mean() >= 0.9 * plain
 
 
 def test_defined_cases(spark):
