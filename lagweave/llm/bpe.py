@@ -6,7 +6,7 @@ these places are encoded one by one with the same result as the whole text, so a
 do) is looked up instead. Texts with other Unicode blanks or with a special token's string go to the library
 whole. Chunks are looked up by a 64-bit hash.
 
-``tokenizers`` defines the results. For chunks of characters below U+0250 the same vocabulary and merges run in
+``tokenizers`` defines the results. For chunks whose bytes are at most 0xC9 (characters up to U+027F) the same vocabulary and merges run in
 ``tiktoken``, which is faster on short strings; tests hold the two against each other.
 """
 
@@ -27,10 +27,12 @@ _BLANK = ~wd.NOT_BLANK
 _ODD_BLANKS = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: The pre-tokenisation pattern of byte-level BPE with ``use_regex``.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks remembered per worker; beyond that the memory starts anew (a matter of speed only).
-REMEMBERED = 1_500_000
+#: Chunks remembered per worker, with or without their ids; beyond that the memory starts anew (a matter of speed only).
+REMEMBERED = 400_000
+#: Chunks handed to the library at once; its encodings take some kB each.
+LEARNED = 8192
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -59,7 +61,10 @@ def _fast_twin(spec: dict):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """``ids``: keep the ids of known chunks; without, only their numbers (counting needs no more)."""
+
+    def __init__(self, path: str, ids: bool = True) -> None:
+        self.ids = ids
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,22 +89,19 @@ class Encoder:
     def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         if len(self.hashes) + len(hashes) > REMEMBERED:
             self._forget()
-        raw = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        got: list[list[int]] = []
-        twin = self.twin
-        slow = [] if twin is None else [i for i, x in enumerate(raw) if max(x) > 0xC9]
-        if twin is None or slow:
-            picked = range(len(raw)) if twin is None else slow
-            encoded = self.whole.encode_batch([raw[i].decode() for i in picked], add_special_tokens=False)
+        got: list[list[int] | range] = []
+        for k in range(0, len(start), LEARNED):
+            raw = [data[a:b].tobytes() for a, b in zip(start[k : k + LEARNED].tolist(), end[k : k + LEARNED].tolist(), strict=True)]
+            picked = [i for i, x in enumerate(raw) if self.twin is None or max(x) > 0xC9]
+            encoded = self.whole.encode_batch([raw[i].decode() for i in picked], add_special_tokens=False) if picked else []
             whole = {i: e.ids for i, e in zip(picked, encoded, strict=True)}
-        else:
-            whole = {}
-        encode = twin.encode_ordinary if twin is not None else None
-        got = [whole[i] if i in whole else encode(x.decode()) for i, x in enumerate(raw)]
+            ids = [whole[i] if i in whole else self.twin.encode_ordinary(x.decode()) for i, x in enumerate(raw)]
+            got += ids if self.ids else [range(len(x)) for x in ids]
         counts = np.fromiter(map(len, got), np.int32, len(got))
-        ids = np.fromiter((t for g in got for t in g), np.uint32, int(counts.sum()))
-        firsts = len(self.pool) + np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
-        self.pool = np.concatenate((self.pool, ids))
+        firsts = np.zeros(len(counts), np.int64)
+        if self.ids:
+            firsts += len(self.pool) + np.cumsum(counts) - counts
+            self.pool = np.concatenate((self.pool, np.fromiter((t for g in got for t in g), np.uint32, int(counts.sum()))))
         order = np.argsort(all_hashes := np.concatenate((self.hashes, hashes)), kind="stable")
         self.hashes = all_hashes[order]
         self.counts = np.concatenate((self.counts, counts))[order]
@@ -187,8 +189,8 @@ class Encoder:
                 yield self.pool[np.repeat(firsts[mine] - before, n) + np.arange(int(n.sum()))]
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, ids: bool = True) -> Encoder:
+    """One encoder per worker process, file and use."""
+    if (path, ids) not in _loaded:
+        _loaded[path, ids] = Encoder(path, ids)
+    return _loaded[path, ids]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
-from lagweave.session import ship
+from lagweave.session import map_arrow, ship
 
 WINDOW = 10
 SHINGLE = 5

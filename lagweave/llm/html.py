@@ -26,10 +26,9 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagweave.session import batched
+from lagweave.session import map_arrow
 
 #: Lines in a window.
 WINDOW = 3
@@ -275,4 +274,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return batched(pages.select("page_id", "url", F.col("html"))).mapInArrow(run, schema)
+    return map_arrow(pages.select("page_id", "url", "html"), run, schema)

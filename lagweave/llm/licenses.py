@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
 from lagweave.llm.decontaminate import Filter
-from lagweave.session import ship
+from lagweave.session import map_arrow
 
 THRESHOLD = 0.9
 
@@ -96,8 +96,6 @@ class Templates:
 
 def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Occurrences of each vocabulary word in all documents."""
-    ship(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Filter(vocabulary), np.zeros(len(vocabulary), np.int64)
         for b in batches:
@@ -107,7 +105,7 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(docs.select("text"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
     return out
 
@@ -192,7 +190,6 @@ def scan_column(column: pa.Array, templates: Templates, known: Filter, prefixes:
 
 def scan(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
     """Per document: ``n_words, n_base, first_word, last_word, base_labels, labels, score``."""
-    ship(docs.sparkSession)
     templates = templates or Templates()
     templates.order(count_words(docs, templates.vocabulary))
     kinds = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType()}
@@ -205,7 +202,7 @@ def scan(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
             got = list(scan_column(b.column("text"), templates, known, prefixes))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(arrow))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def _words_of(text: str) -> list[str]:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lagweave.llm import words as wd
 from lagweave.llm.components import components
 from lagweave.llm.shared import materialize
-from lagweave.session import ship
+from lagweave.session import map_arrow
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -144,7 +144,6 @@ def fixed_binary(array: np.ndarray) -> pa.Array:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Per document with words: ``doc_id, node`` (its words' digest), ``sig`` (16 bits a component) and ``bands``."""
-    ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 done += n
                 yield pa.RecordBatch.from_arrays([ids, fixed_binary(content_digest(words)[there]), fixed_binary((names & _U(0xFFFF)).astype("<u2")), bands], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def multisets(texts: DataFrame) -> DataFrame:
@@ -183,7 +182,7 @@ def multisets(texts: DataFrame) -> DataFrame:
                 got = [(w, np.sort(short[bounds[r] : bounds[r + 1]]).tobytes()) for r, w in enumerate(wanted) if w == digests[r].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+    return map_arrow(texts.select("node", "text"), run, "node binary, shingles binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -211,7 +210,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # the side that can repeat without bound (a leader) joins last, where AQE splits its partition
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def rest_of_buckets(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -335,7 +334,7 @@ def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 done += len(offsets) - 1
             yield b.filter(pa.array(good, pa.bool_()))
 
-    exact = met.mapInArrow(run, at)
+    exact = map_arrow(met, run, at)
     # repeated rows: one stays for each (id, words)
     once = exact.groupBy("__kept", "__node").agg(F.first("__row").alias("__row")).select("__row.*")
     return bare.unionByName(once) if len(set(schema.names)) == len(schema.names) else bare.union(once)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lagweave.llm import bpe
 from lagweave.llm.shared import materialize, text_or_empty
-from lagweave.session import batched
+from lagweave.session import map_arrow
 
 CAPACITY = 1024
 END = 2
@@ -240,7 +240,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) ->
             uid += n
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return batched(docs.select("doc_id", text_or_empty("text").alias("text"))).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", text_or_empty("text").alias("text")), run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

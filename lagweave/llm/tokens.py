@@ -6,7 +6,7 @@ however many copies there are), and the new counts are appended to the cache, a
 
 Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows each get the count; an
 empty table gives an empty result; a very long text is encoded whole; columns besides ``doc_id`` and ``text``
-are ignored. Normalising the content for its digest changes nothing but null to empty, since any other
+are ignored, whatever their names. Normalising the content for its digest changes nothing but null to empty, since any other
 change could change the count.
 """
 
@@ -23,27 +23,30 @@ from pyspark.sql import types as T
 
 from lagweave.llm import bpe
 from lagweave.llm.shared import fresh_dir, text_or_empty
-from lagweave.session import ship
+from lagweave.session import map_arrow
 
-CACHE = T.StructType([
-    T.StructField("tokenizer", T.BinaryType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
-])
+CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
-def tokenizer_digest(path: str) -> bytearray:
+def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as f:
-        return bytearray(hashlib.sha256(f.read()).digest())
+        return hashlib.sha256(f.read()).hexdigest()
 
 
-def read_cache(spark: SparkSession, cache: str, version: bytearray) -> DataFrame:
+def version_dir(cache: str, version: str) -> str:
+    """Counts of one tokenizer version lie in a folder of their own, so those of others are never read."""
+    return f"{cache.rstrip('/')}/tokenizer={version}"
+
+
+def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """The stored counts of one tokenizer version, one row a digest even if two jobs appended the same one."""
     try:
-        stored = spark.read.schema(CACHE).parquet(cache)
+        stored = spark.read.schema(CACHE).parquet(version_dir(cache, version))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], CACHE)
-    return stored.where(F.col("tokenizer") == F.lit(version)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def encode_counts(misses: DataFrame, path: str) -> DataFrame:
@@ -51,11 +54,10 @@ def encode_counts(misses: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = bpe.encoder(path).counts_of(b.column("text"))
+            n = bpe.encoder(path, ids=False).counts_of(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    ship(misses.sparkSession)
-    return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
+    return map_arrow(misses.select("digest", "text"), run, "digest binary, n_tokens bigint")
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None) -> DataFr
     # copies meet within each task first, so a text with many copies is sent once a task
     distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
-    encode_counts(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    encode_counts(misses, path).write.mode("append").parquet(version_dir(cache, version))
     # a digest with very many copies makes this join skewed; its rows are a few bytes and AQE splits them
     counted = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return counted.join(read_cache(spark, cache, version).hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")

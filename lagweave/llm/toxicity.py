@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
 from lagweave.llm.shared import bucket_of
-from lagweave.session import batched
+from lagweave.session import map_arrow
 
 SAMPLE = 4000
 #: Characters of the texts trained on: whole texts in the sample's order, as far as they fit.
@@ -567,7 +567,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int
     # the sample is bounded, so one task trains on it; the driver sees the model only
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)))
-    models = batched(rows.repartition(1)).mapInArrow(run, "model binary").collect()
+    models = map_arrow(rows.repartition(1), run, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else 0.0
 
 
@@ -581,7 +581,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text"), sent.value, memory), pa.float64())], schema.names)
 
-    return batched(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
@@ -594,4 +594,4 @@ def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataF
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), sent.value, memory) < threshold, pa.bool_()))
 
-    return batched(docs).mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
