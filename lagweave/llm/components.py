@@ -2,6 +2,10 @@
 
 Every step is a distributed aggregate and join whose result is written to the shared folder, so no lineage grows
 and no component is gathered anywhere. Links shrink to stars around the smallest member of each component.
+
+Defined cases: links of a node to itself and rows with a null end are ignored; repeated links count once; a link may name its ends in either
+order; without links the result is empty; columns besides ``a`` and ``b`` are ignored. The smallest member is the one of the least value,
+so there are no ties.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import materialize
+from lagweave.llm.shared import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,8 +41,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        links = materialize(_small_star(_large_star(links)), "links")
-        now = _signature(links)
+        shorter = materialize(_small_star(_large_star(links)), "links")
+        discard(links)
+        links, now = shorter, _signature(shorter)
         if now == before:
             break
         before = now

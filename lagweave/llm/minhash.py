@@ -8,11 +8,11 @@ of the weighted Jaccard similarity. A point later than every component's earlies
 one draw a shingle.
 
 Signatures are banded for candidates. In every bucket the member that shares most buckets with others leads, and others are
-held against it, by the exact overlap of multisets; pairs in a bucket that no chain of links joins yet are then held against
-each other, in blocks. So a large group of copies costs a comparison a member, and no link between classes is lost.
+held against it, by the exact overlap of multisets; members of other classes than a bucket's largest are then held against all
+that no chain of links joins to them yet, in blocks. So a large group of copies costs a comparison a member, and no link between classes is lost.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters. Shingle hashes have 64 bits in signatures and 32
-in the overlap.
+Words are lower-cased runs of letters, digits and non-ASCII characters. Shingles are told apart by 64-bit hashes, in signatures and in
+the overlap.
 
 Defined cases: a document without words (null and empty included) is a class of its own; one of fewer than five words is one
 shingle; documents of equal words are one class; repeated rows are in one class; an empty table gives an empty result; very
@@ -32,15 +32,15 @@ from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
 from lagweave.llm.components import components
-from lagweave.llm.shared import materialize
+from lagweave.llm.shared import discard, materialize
 from lagweave.session import map_arrow
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-#: Members of a bucket that meet in one task.
-BLOCK = 512
+#: Members of a bucket that meet as many others in one task.
+BLOCK = 256
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -98,7 +98,7 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows
         time, draw = np.zeros(len(active)), 0
         while len(active):
             draw += 1
-            bits = wd.mix(seed[active] + _U(draw) * _GOLDEN)
+            bits = wd.mix(seed[active] + np.array([draw], _U) * _GOLDEN)
             uniform = ((bits >> _U(12)).astype(float) + 0.5) * 2.0**-52
             time = time - np.log(uniform) / (m * width[active])
             soon = time < horizon[row[active]]
@@ -164,7 +164,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def multisets(texts: DataFrame) -> DataFrame:
-    """``node, text`` to ``node, shingles`` (sorted 32-bit hashes), for rows whose words are the node's."""
+    """``node, text`` to ``node, shingles`` (sorted hashes), for rows whose words are the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,8 +178,7 @@ def multisets(texts: DataFrame) -> DataFrame:
                 rows, hashes, weights = shingles_of(words)
                 rows, hashes = np.repeat(rows, weights), np.repeat(hashes, weights)
                 bounds = np.searchsorted(rows, np.arange(n + 1))
-                short = (hashes >> _U(32)).astype("<u4")
-                got = [(w, np.sort(short[bounds[r] : bounds[r + 1]]).tobytes()) for r, w in enumerate(wanted) if w == digests[r].tobytes()]
+                got = [(w, np.sort(hashes[bounds[r] : bounds[r + 1]]).astype("<u8").tobytes()) for r, w in enumerate(wanted) if w == digests[r].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["node", "shingles"])
 
     return map_arrow(texts.select("node", "text"), run, "node binary, shingles binary")
@@ -190,10 +189,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 0.0
     both = np.concatenate((a, b))
-    # the k-th copy of a value in one meets the k-th copy in the other
-    nth = lambda x: np.arange(len(x)) - np.searchsorted(x, x)
-    tagged = np.sort((both.astype(_U) << _U(32)) | np.concatenate((nth(a), nth(b))).astype(_U))
-    common = int((tagged[1:] == tagged[:-1]).sum())
+    both.sort(kind="stable")
+    new = np.concatenate(([True], both[1:] != both[:-1]))
+    values, total = both[new], np.diff(np.append(np.flatnonzero(new), len(both)))
+    of_a = np.searchsorted(a, values, "right") - np.searchsorted(a, values, "left")
+    common = int(np.minimum(of_a, total - of_a).sum())
     return common / (len(both) - common)
 
 
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            good = [4 * least * max(len(p), len(q)) <= 4 * min(len(p), len(q)) and overlap(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) >= least - 1e-12 for p, q in zip(x, y, strict=True)]
+            good = [4 * least * max(len(p), len(q)) <= 4 * min(len(p), len(q)) and overlap(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) >= least - 1e-12 for p, q in zip(x, y, strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
@@ -214,21 +214,29 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
 
 
 def rest_of_buckets(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links between classes: ``members(bucket, n, node, class, sig, shingles)`` of buckets with several classes.
+    """Links between classes: ``members(bucket, node, class, sig, shingles)`` of buckets with several classes.
 
-    A bucket is cut into blocks that meet pairwise, each meeting a task's work of bounded size. A pair is looked at in the first
-    band that it shares only, and by its multisets at once, so that no pair leaves the task but links, and of these only such
-    as join two classes (at most one fewer than there are members). Signatures only order the pairs, likely links first.
+    The largest class of a bucket needs no look at its own pairs, so its members meet those of the other classes only, and these meet
+    all. Both are cut into blocks that meet pairwise, each meeting a task's work of bounded size: with n members in the largest class and m in
+    the others, members are sent some (2n + m) m / BLOCK times in all, which is in proportion to n where few have strayed. A pair
+    is looked at in the first band that it shares only, and by its multisets at once, so that no pair leaves the task but links, and of
+    these only such as join two classes (at most one fewer than there are members). Signatures only order the pairs, likely links first.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = members.withColumn("blocks", blocks).withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kinds = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "class"))
+    kinds = kinds.groupBy("bucket").agg(largest["class"].alias("main"), largest["n"].alias("most"), F.sum("n").alias("n"))
+    met = members.join(kinds, "bucket").withColumn("stray", F.col("class") != F.col("main"))
+    mains, strays = (F.ceil(n / BLOCK).cast("int") for n in (F.col("most"), F.col("n") - F.col("most")))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    # blocks of the largest class are -1, -2, .., those of the others 0, 1, ..
+    met = met.withColumn("block", F.when(F.col("stray"), place(strays)).otherwise(-1 - place(mains)))
+    met = met.withColumn("other", F.explode(F.sequence(F.when(F.col("stray"), -mains).otherwise(F.lit(0)), strays - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "class", "sig", "shingles")
 
     def run(_: tuple, group: pa.Table) -> pa.Table:
         n = group.num_rows
         node = group.column("node").to_pylist()
-        sets = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
         band = group.column("bucket")[0].as_py()["band"]
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -278,8 +286,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = buckets.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("bucket")
     signed = sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig")).join(sets, "node")
-    late = materialize(rest_of_buckets(named.join(mixed, "bucket").join(signed, "node")).distinct(), "late_links")
-    return sketches, materialize(components(links.unionByName(late)), "classes")
+    late = materialize(rest_of_buckets(named.join(mixed, "bucket").join(signed, "node").drop("n")).distinct(), "late_links")
+    whole = materialize(components(links.unionByName(late)), "classes")
+    discard(slots, buckets, sets, links, found, late)
+    return sketches, whole
 
 
 def _first_of_nodes(sketches: DataFrame, found: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def _hash_long(data: np.ndarray) -> np.uint64:
     for k in range(0, len(data), PIECE_BYTES):
         piece = _BYTE_VALUES[data[k : k + PIECE_BYTES]]
         total += scale * np.sum(piece * powers[: len(piece)], dtype=np.uint64)
-        scale *= powers[-1] * _MULTIPLIER
+        scale = scale * powers[-1:] * _MULTIPLIER
     return mix(total + np.array([len(data)], np.uint64) * _MULTIPLIER)[0]
 
 

@@ -87,7 +87,7 @@ def test_estimate_is_unbiased_for_weights_one_and_two():
 
 
 def test_overlap():
-    a, b = np.array([1, 1, 2, 5], np.uint32), np.array([1, 2, 2, 5], np.uint32)
+    a, b = np.array([1, 1, 2, 5], np.uint64), np.array([1, 2, 2, 5], np.uint64)
     assert mh.overlap(a, b) == pytest.approx(3 / 5)
     assert mh.overlap(a[:0], b[:0]) == 0
 
@@ -105,12 +105,25 @@ def test_rest_of_buckets_verifies_pairs_whose_signatures_disagree(spark):
     # one band of 24 in common, multisets at 0.9
     one = np.arange(mh.COMPONENTS, dtype="<u2")
     two = np.where(np.arange(mh.COMPONENTS) < mh.ROWS, one, one + 1000).astype("<u2")
-    sets = np.arange(19, dtype="<u4"), np.arange(1, 19, dtype="<u4")
-    rows = [((0, 7), 2, bytes([k]), bytes([k]), bytearray(sig.tobytes()), bytearray(s.tobytes())) for k, (sig, s) in enumerate(zip((one, two), sets, strict=True))]
-    members = spark.createDataFrame(rows, "bucket struct<band: int, key: long>, n long, node binary, class binary, sig binary, shingles binary")
+    sets = np.arange(19, dtype="<u8"), np.arange(1, 19, dtype="<u8")
+    rows = [((0, 7), bytes([k]), bytes([k]), bytearray(sig.tobytes()), bytearray(s.tobytes())) for k, (sig, s) in enumerate(zip((one, two), sets, strict=True))]
+    members = spark.createDataFrame(rows, "bucket struct<band: int, key: long>, node binary, class binary, sig binary, shingles binary")
     assert [(bytes(r["a"]), bytes(r["b"])) for r in mh.rest_of_buckets(members).collect()] == [(bytes([0]), bytes([1]))]
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_rest_of_buckets_meets_all_classes(spark, monkeypatch, block):
+    # one bucket; a large class, a pair of classes joined by one link between members that lead nothing, and a stranger
+    monkeypatch.setattr(mh, "BLOCK", block)
+    rng = np.random.default_rng(0)
+    sig = np.zeros(mh.COMPONENTS, "<u2").tobytes()
+    base = [np.sort(rng.integers(0, 2**63, 40, np.uint64)) for _ in range(4)]
+    members = [(b"L", base[0]) for _ in range(9)] + [(b"M", base[1]), (b"M", base[2]), (b"N", np.sort(np.concatenate((base[2][:38], base[3][:2]))))] + [(b"S", base[3])]
+    rows = [((0, 7), bytes([k]), bytearray(c), bytearray(sig), bytearray(x.astype("<u8").tobytes())) for k, (c, x) in enumerate(members)]
+    frame = spark.createDataFrame(rows, "bucket struct<band: int, key: long>, node binary, class binary, sig binary, shingles binary")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in mh.rest_of_buckets(frame).distinct().collect()] == [(bytes([10]), bytes([11]))]
+
+
 def test_dedup_keeps_one_row_of_each_class(spark):
     docs = fixture()
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, node int")
