@@ -3,14 +3,16 @@
 An item's windows are sets of word shingles. A window is contained in a document only if all its shingles are, so
 one of them, its rarest, is the prefix that a join needs: shingles are ordered by how often they occur in all
 documents, documents are searched for prefixes only, positional and length bounds place the whole window around
-a prefix, and each placed window is verified word by word, byte by byte.
+a prefix, and each placed window is verified word by word, byte by byte. Equal windows of several items are one window.
 
-Documents never move: a counting pass ranks the benchmark's shingles, a second pass searches. The benchmark goes to
-the executors in blocks of bounded size; a larger benchmark makes more blocks, which one pass takes in turn.
+Documents never move: a counting pass ranks the benchmark's shingles, a second pass searches. The benchmark goes to the executors in
+one table of at most ``GROUP_WORDS`` words (100 bytes a word); a larger one takes more pairs of passes, one after the other, each with
+a table of its own that is taken back before the next, and documents' findings meet by row at the end.
 
-Defined cases: a null text has no words; an item without words never occurs; an item of fewer words than a window is
-one window; equal items each count; repeated rows each get a row; an empty benchmark leaves every document clean;
-an empty table gives an empty result; a very long text is searched whole.
+Defined cases: a null text has no words; an item without words never occurs; an item of fewer words than a window is one window; a null item_id is
+the empty string; equal items each count; of a window's shingles that are equally rare the first is the prefix; repeated rows each get a row;
+an empty benchmark leaves every document clean; an empty table gives an empty result; a very long text is searched whole; columns besides
+``doc_id``, ``item_id`` and ``text``, whatever their names, are ignored by ``scan`` and carried by ``clean``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +31,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
+from lagweave.llm.shared import materialize
 from lagweave.session import map_arrow, ship
 
 WINDOW = 10
 SHINGLE = 5
-#: Words of a block of items. A block's arrays take less than 100 bytes a word.
-BLOCK_WORDS = 500_000
+#: Words of the items that go out at once.
+GROUP_WORDS = 1_000_000
 
 
 @dataclass
 class Block:
-    """Items' words, and windows as (item, first word, length)."""
+    """Items' words, and their distinct windows as (first word, length) with the items that have them."""
 
     ids: list[str]
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
-    window_item: np.ndarray
     window_first: np.ndarray
     window_length: np.ndarray
+    #: Of window w: items ``item[bounds[w]:bounds[w + 1]]``.
+    item: np.ndarray
+    bounds: np.ndarray
     #: For each shingle size: all shingles' hashes, sorted.
     shingles: dict[int, np.ndarray]
     #: For each shingle size: prefixes' hashes, sorted, and for each the window and the shingle's offset in it.
@@ -60,24 +67,29 @@ def shingle_hashes(words: wd.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def build_block(ids: list[str], texts: list[str | None], window: int = WINDOW, shingle: int = SHINGLE) -> Block:
     data, offsets = wd.texts_buffer(texts)
     words = wd.segment(data, offsets)
-    n = np.diff(words.bounds)
-    item, first, length = [], [], []
-    for i, k in enumerate(n.tolist()):
-        if k:
-            w = min(k, window)
-            at = np.arange(words.bounds[i], words.bounds[i] + k - w + 1)
-            item.append(np.full(len(at), i))
-            first.append(at)
-            length.append(np.full(len(at), w))
-    empty = np.zeros(0, np.int64)
-    item, first, length = (np.concatenate(x) if x else empty for x in (item, first, length))
+    items, firsts, lengths, keys = [], [], [], []
+    for i, k in enumerate(np.diff(words.bounds).tolist()):
+        w = min(k, window)
+        for at in range(int(words.bounds[i]), int(words.bounds[i]) + k - w + 1 if k else 0):
+            items.append(i)
+            firsts.append(at)
+            lengths.append(w)
+            # windows are equal if their words are, to the byte
+            keys.append(b" ".join(wd.LOWER[data[a:b]].tobytes() for a, b in zip(words.start[at : at + w].tolist(), words.end[at : at + w].tolist(), strict=True)))
+    number: dict[bytes, int] = {}
+    code = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+    pairs = np.unique(np.stack((code, np.array(items, np.int64))), axis=1) if keys else np.zeros((2, 0), np.int64)
+    bounds = np.searchsorted(pairs[0], np.arange(len(number) + 1))
+    leads = np.unique(code, return_index=True)[1] if keys else np.zeros(0, np.int64)
+    first, length = np.array(firsts, np.int64)[leads], np.array(lengths, np.int64)[leads]
     shingles = {}
     for k in sorted({min(int(w), shingle) for w in np.unique(length)}):
-        used = np.unique(length[np.minimum(length, shingle) == k])
-        at, hashes = wd.windows(words, k)
-        inside = np.isin(words.row[at], item[np.isin(length, used)])
-        shingles[k] = np.unique(hashes[inside])
-    return Block(ids, data, words.start, words.end, words.hash, item, first, length, shingles, {})
+        of = np.minimum(length, shingle) == k
+        _, hashes = wd.windows(wd.Words(words.start, words.end, np.zeros(len(words.start), np.int64), words.hash, words.bounds), k)
+        spread = length[of] - k + 1
+        places = np.repeat(first[of] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))
+        shingles[k] = np.unique(hashes[places])
+    return Block(ids, data, words.start, words.end, words.hash, first, length, pairs[1], bounds, shingles, {})
 
 
 def choose_prefixes(block: Block, counts: dict[int, np.ndarray], shingle: int = SHINGLE) -> None:
@@ -118,16 +130,17 @@ class Filter:
         return maybe[self.hashes[at] == hashes[maybe]]
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[list[str], list[str | None]]]:
-    """Items in blocks, read one partition after the other; the driver holds one block."""
+def item_groups(items: DataFrame, group_words: int = GROUP_WORDS) -> Iterator[tuple[list[str], list[str | None]]]:
+    """Items in groups, read one partition after the other; the driver holds one group."""
     ids: list[str] = []
     texts: list[str | None] = []
     n = 0
     for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         ids.append(row[0] or "")
         texts.append(row[1])
-        n += len((row[1] or "").split()) + 1
-        if n >= block_words:
+        # a word takes a byte and what parts it from the next one
+        n += len((row[1] or "").encode()) // 2 + 1
+        if n >= group_words:
             yield ids, texts
             ids, texts, n = [], [], 0
     if ids:
@@ -152,24 +165,22 @@ def count_shingles(docs: DataFrame, block: Broadcast) -> list[tuple[int, int, in
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["k", "at", "n"])
 
-    partial = docs.select("text").mapInArrow(run, "k int, at long, n long")
+    partial = map_arrow(docs.select("text"), run, "k int, at long, n long")
     return [(r[0], r[1], r[2]) for r in partial.groupBy("k", "at").agg(F.sum("n")).collect()]
 
 
-def prepare(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """The blocks with their prefixes, on all executors."""
+def prepare(docs: DataFrame, ids: list[str], texts: list[str | None]) -> Broadcast:
+    """A group of items with its prefixes, on all executors."""
     ship(docs.sparkSession)
-    context, out = docs.sparkSession.sparkContext, []
-    for ids, texts in item_blocks(items, block_words):
-        block = build_block(ids, texts)
-        counts = {k: np.zeros(len(h), np.int64) for k, h in block.shingles.items()}
-        sent = context.broadcast(block)
-        for k, at, n in count_shingles(docs, sent):
-            counts[k][at] = n
-        sent.unpersist()
-        choose_prefixes(block, counts)
-        out.append(context.broadcast(block))
-    return out
+    context = docs.sparkSession.sparkContext
+    block = build_block(ids, texts)
+    counts = {k: np.zeros(len(h), np.int64) for k, h in block.shingles.items()}
+    sent = context.broadcast(block)
+    for k, at, n in count_shingles(docs, sent):
+        counts[k][at] = n
+    sent.unpersist()
+    choose_prefixes(block, counts)
+    return context.broadcast(block)
 
 
 def occurrences(words: wd.Words, data: np.ndarray, block: Block, filters: dict[int, Filter]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,53 +228,119 @@ def _same_bytes(words: wd.Words, data: np.ndarray, a: np.ndarray, block: Block,
     return good
 
 
-def search(column: pa.Array, blocks: list[Broadcast], filters: list[dict[int, Filter]]) -> Iterator[tuple[int, int, list[str]]]:
-    """For each row: words, words hit, items found."""
+def search(column: pa.Array, block: Block, filters: dict[int, Filter]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """For each row: words, runs of words hit as (first, last but one), items found."""
     for data, offsets in wd.blocks(column):
         words = wd.segment(data, offsets)
+        first, window = occurrences(words, data, block, filters)
         cover = np.zeros(len(words.hash) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        for block, f in zip(blocks, filters, strict=True):
-            first, window = occurrences(words, data, block.value, f)
-            np.add.at(cover, first, 1)
-            np.add.at(cover, first + block.value.window_length[window], -1)
-            pairs = np.unique(np.stack((words.row[first], block.value.window_item[window])), axis=1)
-            for r, i in pairs.T.tolist():
-                items.setdefault(r, set()).add(block.value.ids[i])
-        hit = wd.per_row(np.cumsum(cover[:-1]) > 0, words.bounds)
-        for r, (n, h) in enumerate(zip(np.diff(words.bounds).tolist(), hit.tolist(), strict=True)):
-            yield n, h, sorted(items.get(r, ()))
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + block.window_length[window], -1)
+        hit = np.cumsum(cover[:-1]) > 0
+        # a run ends where hits end or the row does
+        begins = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (words.row[1:] != words.row[:-1])))) if len(hit) else first
+        ends = np.flatnonzero(hit & np.concatenate((~hit[1:] | (words.row[1:] != words.row[:-1]), [True]))) + 1 if len(hit) else first
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for r, a, b in zip(words.row[begins].tolist(), begins.tolist(), ends.tolist(), strict=True):
+            runs.setdefault(r, []).append((a - int(words.bounds[r]), b - int(words.bounds[r])))
+        items: dict[int, set[int]] = {}
+        pairs = np.unique(np.stack((words.row[first], window)), axis=1) if len(first) else np.zeros((2, 0), np.int64)
+        for r, w in pairs.T.tolist():
+            items.setdefault(r, set()).update(block.item[block.bounds[w] : block.bounds[w + 1]].tolist())
+        for r, n in enumerate(np.diff(words.bounds).tolist()):
+            yield n, runs.get(r, []), [block.ids[i] for i in items.get(r, ())]
+
+
+def _filters(block: Block) -> dict[int, Filter]:
+    return {k: Filter(p[0]) for k, p in block.prefixes.items()}
+
+
+def _found(docs: DataFrame, block: Broadcast) -> DataFrame:
+    """``__uid``, the runs of words hit and the items found, of the documents with a hit."""
+    schema = T.StructType([T.StructField("__uid", T.LongType()), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = _filters(block.value)
+        for b in batches:
+            got = [(r, runs, items) for r, (_, runs, items) in enumerate(search(b.column("text"), block.value, filters)) if runs]
+            columns = [b.column("__uid").take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.list_(pa.int64()))), pa.array([g[2] for g in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-def _filters(blocks: list[Broadcast]) -> list[dict[int, Filter]]:
-    return [{k: Filter(p[0]) for k, p in b.value.prefixes.items()} for b in blocks]
+    return map_arrow(docs.select("__uid", "text"), run, schema)
 
 
-def scan(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: ``n_words, n_hit, n_items, items_sha256, contaminated``."""
-    blocks = prepare(docs, items, block_words)
-    fields = [docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-    schema = T.StructType(fields)
+def _count_words(docs: DataFrame) -> DataFrame:
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("__uid", T.LongType()), T.StructField("n_words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = _filters(blocks)
         for b in batches:
-            got = list(search(b.column("text"), blocks, filters))
-            columns = [b.column("doc_id"), *(pa.array([x(g) for g in got], pa.int64()) for x in (lambda g: g[0], lambda g: g[1], lambda g: len(g[2])))]
-            columns += [pa.array([hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got], pa.string()), pa.array([g[1] > 0 for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            n = [np.diff(wd.segment(*x).bounds) for x in wd.blocks(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), pa.array(np.concatenate(n) if n else [], pa.int64())], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "__uid", "text"), run, schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any occurrence, with all their columns."""
-    blocks = prepare(docs, items, block_words)
-    at = docs.columns.index("text")
+def _results(ids: pa.Array, found: list[tuple[int, list[tuple[int, int]], list[str]]], names: list[str]) -> pa.RecordBatch:
+    """The result rows of (words, runs of words hit, items)."""
+    hits = []
+    for _, runs, _ in found:
+        total, upto = 0, 0
+        for a, b in sorted(runs):
+            total, upto = total + max(0, b - max(a, upto)), max(upto, b)
+        hits.append(total)
+    items = [sorted(set(f[2])) for f in found]
+    digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
+    columns = [pa.array(x, pa.int64()) for x in ([f[0] for f in found], hits, [len(i) for i in items])]
+    return pa.RecordBatch.from_arrays([ids, *columns, pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = _filters(blocks)
+
+def scan(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
+    """Per document: ``n_words, n_hit, n_items, items_sha256, contaminated``."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
+    docs = docs.select("doc_id", "text")
+    groups = item_groups(items.select("item_id", "text"), group_words)
+    first, second = next(groups, ([], [])), next(groups, None)
+    if second is None:
+        block = prepare(docs, *first)
+
+        def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = _filters(block.value)
+            for b in batches:
+                yield _results(b.column("doc_id"), list(search(b.column("text"), block.value, filters)), schema.names)
+
+        return map_arrow(docs, search_all, schema)
+    # several groups: rows get a number, and each group leaves its findings in the rows that it hits
+    rows = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for k, (ids, texts) in enumerate(chain([first, second], groups)):
+        block = prepare(rows, ids, texts)
+        parts.append(materialize(_found(rows, block), f"group_{k}"))
+        block.unpersist()
+    hits = reduce(DataFrame.unionByName, parts).groupBy("__uid").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    met = _count_words(rows).join(hits, "__uid", "left").select("doc_id", "n_words", "runs", "items")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([hit == 0 for _, hit, _ in search(b.column(at), blocks, filters)], pa.bool_()))
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_words", "runs", "items")), strict=True)
+            yield _results(b.column("doc_id"), [(n, runs or [], items or []) for n, runs, items in rows], schema.names)
+
+    return map_arrow(met, merge, schema)
 
-    return docs.mapInArrow(run, docs.schema)
+
+def clean(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any occurrence, with all their columns. Each group of items works on what those before it left."""
+    at = docs.columns.index("text")
+
+    def without(left: DataFrame, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = _filters(block.value)
+            for b in batches:
+                yield b.filter(pa.array([not runs for _, runs, _ in search(b.column(at), block.value, filters)], pa.bool_()))
+
+        return map_arrow(left, run, left.schema)
+
+    for k, (ids, texts) in enumerate(item_groups(items.select("item_id", "text"), group_words)):
+        if k:
+            docs = materialize(docs, f"clean_{k}")
+        docs = without(docs, prepare(docs.select("text"), ids, texts))
+    return docs

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from lagweave.llm import decontaminate as dc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,13 +43,13 @@ def rows(df):
     return sorted(tuple(r) for r in df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
 
 
-def test_matches_brute_force_in_one_and_in_many_blocks(spark):
+def test_matches_brute_force_in_one_and_in_many_groups(spark):
     docs, items = fixture()
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], DOCS).repartition(3)
     i = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert rows(dc.scan(d, i)) == want
-    assert rows(dc.scan(d, i, block_words=5)) == want
+    assert rows(dc.scan(d, i, group_words=5)) == want
 
 
 def test_clean_keeps_whole_rows(spark):
@@ -56,9 +58,27 @@ def test_clean_keeps_whole_rows(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     got = dc.clean(d, i)
     assert got.columns == d.columns
+    assert sorted(r["doc_id"] for r in dc.clean(d, i, group_words=5).collect()) == sorted(r["doc_id"] for r in got.collect())
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(r[0] for r in brute(docs, items) if not r[5])
 
 
+def test_groups_are_bounded_and_equal_windows_are_one():
+    shared = " ".join(f"s{i}" for i in range(10))
+    block = dc.build_block(["a", "b", "c"], [f"{shared} one", f"two {shared}", "no"])
+    assert len(block.window_first) == 4 and sorted(np.diff(block.bounds).tolist()) == [1, 1, 1, 2]
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):  # noqa: N802
+            return iter([(str(k), "word " * 50) for k in range(20)])
+
+    groups = list(dc.item_groups(Rows(), 300))
+    assert [i for ids, _ in groups for i in ids] == [str(k) for k in range(20)]
+    assert all(sum(len(t.split()) for t in texts) <= 300 + 50 for _, texts in groups)
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], DOCS)
