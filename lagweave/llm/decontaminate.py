@@ -344,3 +344,21 @@ def clean(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) ->
             docs = materialize(docs, f"clean_{k}")
         docs = without(docs, prepare(docs.select("text"), ids, texts))
     return docs
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+s AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM i WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(ws[a:a + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS a FROM s)),
+dw AS (SELECT r, k, a, array_to_string(ws[a:a + k - 1], ' ') AS g
+       FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)),
+m AS (SELECT r, a, dw.k, item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + k)) AS p FROM m) GROUP BY r),
+f AS (SELECT r, list_sort(list(DISTINCT item_id)) AS ids FROM m GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
+"""

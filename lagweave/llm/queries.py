@@ -72,4 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_toxicity, op3_token_counts, op4_quality_rules, op5_lm_scores, op6_sharding, op7_decontamination, op8_packing, op9_license_scan, op10_html_text)
 }
 
-SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
+SQL: dict[str, str] = {
+    "op4_quality_rules": quality.ORACLE_SQL, "op6_sharding": sharding.oracle_sql(SHARDS, sharding.grown(SHARDS)),
+    "op7_decontamination": decontaminate.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql(),
+}

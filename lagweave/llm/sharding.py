@@ -8,8 +8,9 @@ with one rack), so it takes rows only into itself and no row moves between the o
 
 All of it is DataFrame expressions: a draw is 52 bits of an MD5 digest, which any SQL engine can repeat.
 
-Defined cases: a null text has no bytes; a null key is the empty string; equal keys go to one shard;
-repeated rows get slots of their own; an empty table gives an empty result.
+Defined cases: a null text has no bytes; a null key is the empty string; equal keys go to one shard; equal draws (a matter of 2**-52) go to the
+child that is named first; a very long text is measured whole, and only its size and checksum travel; repeated rows get slots of their own;
+an empty table gives an empty result; columns besides the key and ``text``, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -133,12 +134,16 @@ def _choice_sql(name: str, tree: list[Shard]) -> str:
     ])
 
 
-def oracle_sql(tree: list[Shard], larger: list[Shard], pieces: int = SLOT_PIECES) -> str:
+def oracle_sql(tree: list[Shard], larger: list[Shard], key: str = "doc_id", pieces: int = SLOT_PIECES) -> str:
+    """The same rows. The checksum is built byte by byte from its table of 256 remainders."""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, (strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents),
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders),
+b AS (SELECT {key}, coalesce({key}::VARCHAR, '') AS k, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+d AS (SELECT {key}, k, size, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, t),
 s AS (SELECT *, {_choice_sql("k", tree)} AS shard, {_choice_sql("k", larger)} AS grown_shard,
              ('0x' || substr(md5(k || '|' || size), 1, 8))::BIGINT % {pieces} AS piece FROM d)
-SELECT doc_id, size, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
-       (row_number() OVER (PARTITION BY shard ORDER BY piece, doc_id NULLS FIRST, size) - 1)::BIGINT AS slot
+SELECT {key}, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY piece, {key} NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot
 FROM s
 """

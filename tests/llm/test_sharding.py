@@ -50,3 +50,17 @@ def test_a_very_often_repeated_row(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sh.assign(spark.createDataFrame([], "doc_id long, text string"), sh.even_tree(8)).count() == 0
+
+
+def test_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, None), (1, ""), (None, "é日😀"), (None, "é日😀"), (7, "long " * 200_000), (7, "long " * 200_000), (8, "\x00\x7f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree = sh.even_tree(8)
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.sql(sh.oracle_sql(tree, sh.grown(tree)))
+    got = sh.assign(df, tree, sh.grown(tree)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
