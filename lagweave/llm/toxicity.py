@@ -53,6 +53,8 @@ FORMS = 40
 PIECE = 32
 #: Pairs of words in one run of the recursion, and words whose features are found at once: bounds of working memory.
 PAIRS, WORDS = 4096, 100_000
+#: Rows of the machine's matrix that are worked on at once.
+ROWS = 4096
 #: Share of a landmark's neighbouring pairs that a word must hold.
 SHARED = 0.6
 #: Marks around a word: where a stem stands tells as much as its letters.
@@ -260,8 +262,8 @@ def word_features(words: list[str], marks: Landmarks) -> tuple[np.ndarray, np.nd
     return key // len(marks.words), key % len(marks.words), largest
 
 
-def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1.0, rows: int = 20_000) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1, ``share`` what a row counts."""
+def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1.0, rows: int = ROWS) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1, ``share`` what a row counts (0: not at all)."""
     cost = share * np.where(y > 0, 0.5 / max(share[y > 0].sum(), 1e-9), 0.5 / max(share[y < 0].sum(), 1e-9))
     n = x.shape[1]
     ridge = np.full(n + 1, penalty * 1e-3)
@@ -269,13 +271,13 @@ def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1.0, r
     w = np.zeros(n + 1)
 
     def margins(w: np.ndarray) -> np.ndarray:
-        return y * (x @ w[:-1] + w[-1])
+        return y * (x @ w[:-1].astype(np.float32) + w[-1])
 
     def loss(w: np.ndarray) -> float:
         return float(ridge @ (w * w) + cost @ np.maximum(0, 1 - margins(w)) ** 2)
 
     for _ in range(50):
-        active = np.flatnonzero(margins(w) < 1)
+        active = np.flatnonzero((margins(w) < 1) & (cost > 0))
         gradient, hessian = ridge * w, np.diag(ridge) + 1e-12 * np.eye(n + 1)
         for k in range(0, len(active), rows):
             at = active[k : k + rows]
@@ -476,26 +478,29 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     n = int(code.max(initial=-1)) + 1
     if not n:
         return float(labels.mean())
-    x = np.zeros((n, size), np.float32)
+    # a clean document also stands for its sentences in which no word takes part
+    rest = np.flatnonzero(labels == 0)
+    x = np.zeros((n + len(rest), size), np.float32)
     for k in range(0, len(taking), WORDS):
         np.add.at(x, code[k : k + WORDS], features[table[word[taking[k : k + WORDS]]]])
-    x = x @ marks.whitening.astype(np.float32)
+    whitening = marks.whitening.astype(np.float32)
+    for k in range(0, n, ROWS):
+        x[k : k + ROWS] = x[k : k + ROWS] @ whitening
     document = np.zeros(n, np.int64)
     document[code] = row[taking]
-    # a clean document also stands for its sentences in which no word takes part
-    rest = np.flatnonzero(labels == 0)
-    x, document = np.vstack((x, np.zeros((len(rest), x.shape[1]), np.float32))), np.concatenate((document, rest))
+    document = np.concatenate((document, rest))
     y = np.where(labels[document] == 1, 1.0, -1.0)
     use = np.ones(len(y), bool)
     weights, bias = np.zeros(size), 0.0
     for _ in range(4):
         if len(np.unique(y[use])) < 2:
             break
-        weights, bias = svm(x[use], y[use], share[document[use]])
-        margin = x @ weights + bias
+        weights, bias = svm(x, y, np.where(use, share[document], 0.0))
+        margin = x @ weights.astype(np.float32) + bias
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, document, margin)
         use = (y < 0) | (margin > 0) | (margin >= best[document])
+    del x
     weights = marks.whitening @ weights
     got = document_features(row[taking], sentence[taking], (features @ weights)[table[word[taking]]], len(labels), bias)
     center, scale = got.mean(axis=0), np.maximum(got.std(axis=0), 1e-6)
