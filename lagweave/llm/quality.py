@@ -70,40 +70,55 @@ def _places_exactly(words: Column) -> Column:
     return _let(ordered, lambda s: F.sort_array(F.transform(found(s), lambda x: x["at"].cast("long"))))
 
 
-def repeat_words(words: Column) -> Column:
-    """The number of words in 3-word windows found twice or more.
+def _packed(words: Column) -> Column:
+    """Each 3-word window as (36 bits of hash, 28 bits of position) in one long, sorted."""
+    word = lambda i: F.get(words, i)
+    packed = F.transform(words, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))
+    return F.sort_array(F.slice(packed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
 
-    A window is packed as (36 bits of hash, 28 bits of position) into one long, so a primitive sort brings equal windows together in
-    position order, and neighbours with equal hash bits are compared word by word. If such neighbours differ, bits of different
-    windows may lie between equal ones: that text is sorted by its windows themselves.
-    """
+
+def _links(words: Column, packed: Column) -> Column:
+    """Of each packed window and the next one, 1: they are equal, 2: only their hash bits are, 0: neither."""
     word = lambda i: F.get(words, i)
     at = lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int")
     bits = lambda x: F.shiftright(x, _POSITION_BITS)
-    packed = F.transform(words, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))
 
-    def likeness(x: Column, y: Column) -> Column:
-        """1: equal to the next, 2: equal bits only, 0: neither."""
+    def link(x: Column, y: Column) -> Column:
         same = F.lit(True)
         for j in range(3):
             same = same & (word(at(x) + j) == word(at(y) + j))
         return F.when(bits(x) == bits(y), F.when(same, F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(0))
 
-    def places(s: Column) -> Column:
-        links = F.transform(s, lambda x, k: likeness(x, F.get(s, k + 1)))
+    return F.transform(packed, lambda x, k: link(x, F.get(packed, k + 1)))
+
+
+def _places(words: Column, packed: Column, links: Column) -> Column:
+    kept = F.filter(packed, lambda x, k: (F.get(links, k) == 1) | F.when(k > 0, F.get(links, k - 1) == 1).otherwise(False))
+    quick = F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(F.lit(_POSITION))))
+    return F.when(F.array_contains(links, 2), _places_exactly(words)).otherwise(quick)
+
 
-        def quick(near: Column) -> Column:
-            kept = F.filter(s, lambda x, k: (F.get(near, k) == 1) | F.when(k > 0, F.get(near, k - 1) == 1).otherwise(False))
-            return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(F.lit(_POSITION))))
+def _covered(places: Column) -> Column:
+    steps = F.transform(places, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(places, i + 1), x + 3) - x))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
-        return _let(links, lambda near: F.when(F.array_contains(near, 2), _places_exactly(words)).otherwise(quick(near)))
 
-    def covered(p: Column) -> Column:
-        steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1), x + 3) - x))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+def repeat_words(words: Column) -> Column:
+    """The number of words in 3-word windows found twice or more.
+
+    A primitive sort of packed windows brings equal ones together in position order, and neighbours with equal hash bits are
+    compared word by word. If such neighbours differ, bits of different windows may lie between equal ones: that text is sorted by
+    its windows themselves.
+    """
+    return _let(_packed(words), lambda s: _let(_links(words, s), lambda near: _let(_places(words, s, near), _covered)))
+
 
-    ordered = F.sort_array(F.slice(packed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
-    return _let(_let(ordered, places), covered)
+def with_repeat_words(df: DataFrame) -> DataFrame:
+    """The same for every row, step by step in columns, which compiled projections take faster than one nested expression."""
+    words = F.col("__words")
+    df = df.withColumn("__packed", _packed(words)).withColumn("__links", _links(words, F.col("__packed")))
+    df = df.withColumn("__places", _places(words, F.col("__packed"), F.col("__links")))
+    return df.withColumn("n_repeat_words", _covered(F.col("__places"))).drop("__packed", "__links", "__places")
 
 
 def word_chars() -> Column:
@@ -114,12 +129,10 @@ def n_symbols() -> Column:
     return (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long")
 
 
-def _lines() -> Column:
-    return F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-
-
-def n_dup_lines() -> Column:
-    return _let(_lines(), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+def line_counts() -> Column:
+    """``n`` lines with a word, ``dup`` of them equal to an earlier one."""
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    return _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
 
 
 def may_repeat(words: Column) -> Column:
@@ -138,17 +151,21 @@ def base_rules(repeated: Column | None = None) -> list[Rule]:
     return [Rule("few_words", F.col("n_words") < 50), Rule("repeats", repeats)]
 
 
-def default_rules() -> list[Rule]:
-    """Rules beside the base ones. Thresholds are far from clean prose: they reject markup, tables and shouting."""
+def default_rules(known: bool = False) -> list[Rule]:
+    """Rules beside the base ones. Thresholds are far from clean prose: they reject markup, tables and shouting.
+
+    ``known``: the base measures are columns already.
+    """
     text, words = F.col("__text"), F.col("n_words")
+    chars, symbols, lines = (F.col("word_chars"), F.col("n_symbols"), F.col("__lines")) if known else (word_chars(), n_symbols(), line_counts())
     shouts = F.length(text) - F.length(F.translate(text, "!", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     return [
-        Rule("symbols", 4 * n_symbols() > words),
-        Rule("dup_lines", _let(_lines(), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
-        Rule("word_length", _let(word_chars(), lambda n: (n > 25 * words) | (n < 2 * words))),
+        Rule("symbols", 4 * symbols > words),
+        Rule("dup_lines", _let(lines, lambda x: 2 * x["dup"] > x["n"])),
+        Rule("word_length", _let(chars, lambda n: (n > 25 * words) | (n < 2 * words))),
         Rule("shouts", 4 * shouts > words),
-        Rule("capitals", 2 * capitals > word_chars()),
+        Rule("capitals", 2 * capitals > chars),
     ]
 
 
@@ -215,21 +232,21 @@ def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the base measures of every row."""
-    df = with_words(docs).withColumn("word_chars", word_chars()).withColumn("n_symbols", n_symbols()).withColumn("n_dup_lines", n_dup_lines())
-    df = _fenced(df.withColumn("n_repeat_words", repeat_words(F.col("__words"))))
+    df = with_words(docs).withColumn("word_chars", word_chars()).withColumn("n_symbols", n_symbols())
+    df = df.withColumn("__lines", line_counts()).withColumn("n_dup_lines", F.col("__lines.dup"))
+    df = _fenced(with_repeat_words(df))
     few, repeats = base_rules(F.col("n_repeat_words"))
     return df.withColumn("base_failed", few.rejects | repeats.rejects)
 
 
-def score(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """One row per document: the base measures, ``base_failed``, ``kept`` and the ``reason`` of a rejection.
 
-    The measures are asked of every row, so here the cascade begins with them and saves the other rules only.
+    The measures are asked of every row, so here the cascade begins with them and saves work of the other rules only.
     """
     docs = docs.select("doc_id", "text")
-    rules = list(default_rules() if rules is None else rules)
-    sample = sample_of(docs)
-    order = base_rules(F.col("n_repeat_words")) + order_rules(sample, rules)
+    known = {r.name: r for r in default_rules(known=True)}
+    order = base_rules(F.col("n_repeat_words")) + [known[r.name] for r in order_rules(sample_of(docs), default_rules())]
     df = measured(docs).withColumn("reason", cascade(order))
     df = df.withColumn("kept", F.col("reason").isNull() & (F.col("__fence") >= 0))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
