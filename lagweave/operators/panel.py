@@ -56,7 +56,7 @@ def validated(df: DataFrame, values: tuple[str, ...], validate: str) -> DataFram
     """``lazy``: errors surface with the rows. ``eager``: one pass now, which raises this package's classes."""
     if validate not in ("lazy", "eager"):
         raise SpecificationError("validate is 'lazy' or 'eager'")
-    if validate == "eager":
+    if validate == "eager" and values:
         with translated():
             df.agg(*[F.max(v) for v in values]).collect()
     return df

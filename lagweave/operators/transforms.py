@@ -24,6 +24,10 @@ def _across(df: DataFrame, spec: SeriesSpec, step: int, times: int) -> DataFrame
     return df.select(*spec.keys, spec.time, *[columns[n].alias(n) for n in names])
 
 
+def _validated_across(out: DataFrame, spec: SeriesSpec, lost: int, validate: str) -> DataFrame:
+    return validated(out, spec.values[lost:], validate)
+
+
 def difference(df: DataFrame, spec: SeriesSpec, d: int = 1, *, axis: int = 0, validate: str = "lazy") -> DataFrame:
     """``(1 - L)^d`` along time (axis 0) or across the value columns (axis 1).
 
@@ -33,7 +37,7 @@ def difference(df: DataFrame, spec: SeriesSpec, d: int = 1, *, axis: int = 0, va
         raise SpecificationError("d must not be negative")
     if axis == 1:
         spec.check(df)
-        return _across(df, spec, 1, d)
+        return _validated_across(_across(df, spec, 1, d), spec, d, validate)
     w, out = spec.window(), as_panel(df, spec)
     for _ in range(d):
         out = out.withColumns({v: F.col(v) - F.lag(v).over(w) for v in spec.values})
@@ -52,7 +56,7 @@ def seasonal_difference(df: DataFrame, spec: SeriesSpec, s: int, capital_d: int
         spec.check(df)
         if capital_d and len(spec.values) <= s * capital_d:
             raise DimensionError("too few columns for the seasonal difference")
-        return _across(df, spec, s, capital_d)
+        return _validated_across(_across(df, spec, s, capital_d), spec, s * capital_d, validate)
     w, out = spec.window(), as_panel(df, spec)
     if capital_d:
         everything = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -114,7 +118,7 @@ def standardize(df: DataFrame, spec: SeriesSpec, *, axis: int = 0, ddof: int = 0
     spec.check(df)
     panel = df.select(*spec.keys, spec.time, *[finite(F.col(v)).alias(v) for v in spec.values])
     if axis == 1:
-        return _standardize_rows(panel, spec, ddof)
+        return _standardize_rows(panel, spec, ddof, validate)
     parameters = []
     for v in spec.values:
         n = F.count(v)
@@ -127,7 +131,7 @@ def standardize(df: DataFrame, spec: SeriesSpec, *, axis: int = 0, ddof: int = 0
     return Standardized(validated(values, spec.values, validate), params, spec)
 
 
-def _standardize_rows(panel: DataFrame, spec: SeriesSpec, ddof: int) -> Standardized:
+def _standardize_rows(panel: DataFrame, spec: SeriesSpec, ddof: int, validate: str) -> Standardized:
     n = len(spec.values)
     if ddof >= n:
         raise SpecificationError("ddof must be below the number of columns")
@@ -139,7 +143,7 @@ def _standardize_rows(panel: DataFrame, spec: SeriesSpec, ddof: int) -> Standard
     keys = (*spec.keys, spec.time)
     params = full.select(*keys, *[c for v in spec.values for c in (F.col("__m").alias(f"mean_{v}"), F.col("__s").alias(f"scale_{v}"))])
     values = full.select(*keys, *[((F.col(v) - F.col("__m")) / F.col("__s")).alias(v) for v in spec.values])
-    return Standardized(values, params, replace(spec, keys=spec.keys + (spec.time,)))
+    return Standardized(validated(values, spec.values, validate), params, replace(spec, keys=spec.keys + (spec.time,)))
 
 
 def undifference(dx: DataFrame, spec: SeriesSpec, initials: DataFrame, *, d: int = 1, order: str = "ord", validate: str = "lazy") -> DataFrame:

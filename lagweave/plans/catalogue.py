@@ -257,6 +257,101 @@ def poly_roots_p2_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roots_long(df, lp.roots_p2(lp.from_ar(df["a"])))
 
 
+_WIDE = "W AS (SELECT strftime(ts, '%Y-%m-%d') AS m, sum(value::DECIMAL(18,2))::DOUBLE AS v1, sum(user_id)::DOUBLE AS v2, count(*)::DOUBLE AS v3, max(value)::DOUBLE AS v4 FROM events GROUP BY 1)"
+_WIDE_SPEC = SeriesSpec((), "m", ("v1", "v2", "v3", "v4"))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four daily measures of all events side by side."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("m")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v1"), F.sum("user_id").cast("double").alias("v2"), F.count("*").cast("double").alias("v3"), F.max("value").alias("v4"))
+
+
+def _wide_out(df: DataFrame, names: tuple[str, ...], digits: int) -> DataFrame:
+    return df.select("m", *[_round(v, digits).alias(v) for v in names])
+
+
+@query(f"WITH {_WIDE} SELECT m, round(v3 - v1, 2) + 0.0 AS v3, round(v4 - v2, 2) + 0.0 AS v4 FROM W")
+def seasonal_diff_axis1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_out(tr.seasonal_difference(_wide(spark, sf_dir), _WIDE_SPEC, 2, axis=1), ("v3", "v4"), 2)
+
+
+@query(f"WITH {_WIDE} SELECT m, round(ln(v2) - ln(v1), 8) + 0.0 AS v2, round(ln(v3) - ln(v2), 8) + 0.0 AS v3, round(ln(v4) - ln(v3), 8) + 0.0 AS v4 FROM W")
+def log_difference_axis1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_out(tr.log_difference(_wide(spark, sf_dir), _WIDE_SPEC, axis=1), ("v2", "v3", "v4"), 8)
+
+
+def _standard_rows_sql(ddof: int) -> str:
+    values = ", ".join(f"round((v{i} - a) / s, 7) + 0.0 AS v{i}" for i in range(1, 5))
+    squares = " + ".join(f"(v{i} - a) * (v{i} - a)" for i in range(1, 5))
+    return f"WITH {_WIDE}, a AS (SELECT *, (v1 + v2 + v3 + v4) / 4 AS a FROM W), s AS (SELECT *, sqrt(({squares}) / {4 - ddof}) AS s FROM a) SELECT m, {values} FROM s"
+
+
+@query(_standard_rows_sql(0))
+def standardize_axis1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_out(tr.standardize(_wide(spark, sf_dir), _WIDE_SPEC, axis=1).values, _WIDE_SPEC.values, 7)
+
+
+@query(_standard_rows_sql(2))
+def standardize_axis1_ddof2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_out(tr.standardize(_wide(spark, sf_dir), _WIDE_SPEC, axis=1, ddof=2).values, _WIDE_SPEC.values, 7)
+
+
+@query(f"WITH {M}, p AS (SELECT g, avg(y) AS a, stddev_pop(y) * sqrt(count(*) / (count(*) - 2)::DOUBLE) AS s FROM M GROUP BY g) SELECT g, m, round((y - a) / s, 8) + 0.0 AS y FROM M JOIN p USING (g)")
+def standardize_ddof2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _series(tr.standardize(monthly_orders(spark, sf_dir), MONTHLY, ddof=2).values, 8)
+
+
+# A real root below -2, one above 3 and a pair of modulus between 1 and 2; a zero coefficient behind the last one adds none.
+_KNOWN = """K AS (SELECT vec_id, -2 - abs(embedding[1]::DOUBLE) AS r, 3 + abs(embedding[2]::DOUBLE) AS s, 1 + abs(embedding[3]::DOUBLE) / 2 AS x, 0.5 + abs(embedding[4]::DOUBLE) / 2 AS y FROM embeddings)"""
+
+
+@query(f"""WITH {_KNOWN}, z AS (SELECT vec_id, unnest([r, s, x, x]) AS re, unnest([0.0, 0.0, y, -y]) AS im FROM K)
+SELECT vec_id, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM z""")
+def poly_roots_p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    e = F.transform(F.slice("embedding", 1, 4).cast("array<double>"), F.abs)
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", e.alias("e"))
+    at = lambda i: F.get("e", F.lit(i))
+    one = F.lit(1.0)
+    first, second = F.array(one, one / (2 + at(0))), F.array(one, -one / (3 + at(1)))
+    x, y = 1 + at(2) / 2, 0.5 + at(3) / 2
+    pair = F.array(one, -2 * x / (x * x + y * y), one / (x * x + y * y))
+    product = lp.multiply(lp.multiply(first, second), pair)
+    df = df.select("vec_id", F.concat(product, F.array(F.lit(0.0))).alias("c"))
+    rows = df.select("vec_id", lp.roots(df["c"]).alias("roots"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    rows = rows.select("vec_id", F.get("roots", F.col("k")).alias("z")).where("z IS NOT NULL")
+    return rows.select("vec_id", _round("z.re", 4).alias("re"), _round("z.im", 4).alias("im"))
+
+
+@query(f"""WITH {A(8)}, c AS (SELECT vec_id, a, unnest(range(0, 4)) AS c FROM A), w AS (SELECT *, c // 2 AS i, c % 2 AS j, unnest(range(0, 5)) AS k FROM c)
+SELECT vec_id, k, i, j, round(CASE WHEN i = j THEN 1 ELSE 0 END - a[c + 1] * cos(pi() * k / 4) - a[c + 5] * cos(2 * pi() * k / 4), 7) + 0.0 AS re,
+round(a[c + 1] * sin(pi() * k / 4) + a[c + 5] * sin(2 * pi() * k / 4), 7) + 0.0 AS im FROM w""")
+def poly_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = coefficients(spark, sf_dir, 8).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    w = F.lit(math.pi) * df["k"] / 4
+    value = lp.evaluate(lp.from_ar(matrix(df["a"], 2, 2), True), F.cos(w), -F.sin(w), True)
+    rows = df.select("vec_id", "k", F.posexplode(value).alias("i", "r")).select("vec_id", "k", F.col("i").cast("long").alias("i"), F.posexplode("r").alias("j", "z"))
+    return rows.select("vec_id", "k", "i", F.col("j").cast("long").alias("j"), _round("z.re", 7).alias("re"), _round("z.im", 7).alias("im"))
+
+
+@query(f"WITH {A(8)}, c AS (SELECT vec_id, a, unnest(range(0, 8)) AS c FROM A) SELECT vec_id, c // 4 AS lag, c % 4 // 2 AS i, c % 2 AS j, round(a[c + 1], 8) + 0.0 AS v FROM c")
+def poly_ar_coeffs_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = coefficients(spark, sf_dir, 8)
+    rows = df.select("vec_id", F.posexplode(lp.ar_coeffs(lp.from_ar(matrix(df["a"], 2, 2), True), True)).alias("lag", "m"))
+    rows = rows.select("vec_id", "lag", F.posexplode("m").alias("i", "r")).select("vec_id", "lag", "i", F.posexplode("r").alias("j", "v"))
+    return rows.select("vec_id", *[F.col(c).cast("long").alias(c) for c in ("lag", "i", "j")], _round("v", 8).alias("v"))
+
+
+@query("SELECT vec_id, 2 AS degree, 2 AS dim, true AS is_matrix, 'LagPolynomial(degree=2, dim=2)' AS text FROM embeddings")
+def poly_meta_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = coefficients(spark, sf_dir, 8)
+    df = df.select("vec_id", matrix(df["a"], 2, 2).alias("m"))
+    p = lp.LagPolynomial.from_ar_coeffs(df, "m")
+    return df.select("vec_id", p.degree.alias("degree"), p.dim.alias("dim"), F.lit(p.is_matrix).alias("is_matrix"), p.describe().alias("text"))
+
+
 # ---- companion forms
 
 
@@ -291,6 +386,12 @@ def companion_k2p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(df, co.companion_matrix(matrix(df["a"], 2, 2), True))
 
 
+@query(_K2P2)
+def companion_from_poly_k2p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = coefficients(spark, sf_dir, 8)
+    return _cells(df, co.companion_from_polynomial(lp.from_ar(matrix(df["a"], 2, 2), True), True))
+
+
 @query(_K2P2.replace("FROM A, ij", "FROM A, ij WHERE i < 2 OR j = i - 2"))
 def companion_entries_k2p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = co.companion_entries(coefficients(spark, sf_dir, 8).withColumn("m", matrix(F.col("a"), 2, 2)), "vec_id", F.col("m"))
@@ -338,6 +439,33 @@ def stability_companion_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(df, st.assess_stability_from_companion(F.get(matrix(df["a"], 2), F.lit(0))))
 
 
+_VAR1 = f"""WITH {A(4, 4)}, r AS (SELECT vec_id, a[1] + a[4] AS tr, a[1] * a[4] - a[2] * a[3] AS det FROM A), q AS (SELECT *, tr * tr - 4 * det AS disc FROM r),
+m AS (SELECT vec_id, CASE WHEN disc >= 0 THEN (abs(tr) + sqrt(disc)) / 2 ELSE sqrt(det) END AS hi, CASE WHEN disc >= 0 THEN abs(abs(tr) - sqrt(disc)) / 2 ELSE sqrt(det) END AS lo FROM q)
+SELECT vec_id, round(hi, 7) + 0.0 AS max_modulus, hi < 1 - 1e-8 AS is_stable, 0 AS n_unit_roots, (CASE WHEN hi > 1 + 1e-8 THEN 1 ELSE 0 END + CASE WHEN lo > 1 + 1e-8 THEN 1 ELSE 0 END) AS n_explosive FROM m"""
+
+
+@query(_VAR1)
+def stability_var_k2p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    df = coefficients(spark, sf_dir, 4, 4.0)
+    return _verdict(df, st.assess_stability(matrix(df["a"], 2), True))
+
+
+@query(f"""WITH {A(2, 4)}, r AS (SELECT vec_id, a, a[1] * a[1] + 4 * a[2] AS disc FROM A), s AS (SELECT *, unnest([1, -1]) AS s FROM r)
+SELECT vec_id, round(CASE WHEN disc >= 0 THEN (a[1] + s * sqrt(disc)) / 2 ELSE a[1] / 2 END, 6) + 0.0 AS re, round(CASE WHEN disc < 0 THEN s * sqrt(-disc) / 2 ELSE 0 END, 6) + 0.0 AS im, 0.001::DOUBLE AS tol FROM s""")
+def stability_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    df = coefficients(spark, sf_dir, 2, 4.0)
+    out = df.select("vec_id", st.assess_stability(df["a"], tol=1e-3).alias("s")).select("vec_id", F.explode("s.eigenvalues").alias("z"), F.col("s.tol").alias("tol"))
+    return out.select("vec_id", _round("z.re", 6).alias("re"), _round("z.im", 6).alias("im"), "tol")
+
+
+def _var2_sql(scale: float, name: str) -> str:
+    """A two-series autoregression of two lags is stable if the determinant of its polynomial, a scalar one of degree 4, is."""
+    determinant = ("[a[1] + a[4], a[5] + a[8] - a[1] * a[4] + a[2] * a[3], -(a[1] * a[8] + a[5] * a[4] - a[2] * a[7] - a[6] * a[3]), -(a[5] * a[8] - a[6] * a[7])]")
+    return _step_down_sql(8, scale, name).replace("A AS (", "A0 AS (", 1).replace(", s AS (", f", A AS (SELECT vec_id, {determinant} AS a FROM A0), s AS (", 1)
+
+
 def _step_down_sql(p: int, scale: float, name: str) -> str:
     return f"""WITH RECURSIVE {A(p, scale)}, s AS (
 SELECT vec_id, list_transform(a, lambda x, i: x / pow(1 - 1e-8, i)) AS b, true AS ok FROM A
@@ -371,6 +499,20 @@ def is_invertible_p4_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", st.is_invertible(df["a"], native=True).alias("is_invertible"))
 
 
+@query(_var2_sql(3.0, "is_stationary"))
+def is_stationary_var_k2p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    df = coefficients(spark, sf_dir, 8, 3.0)
+    return df.select("vec_id", st.is_stationary(matrix(df["a"], 2, 2), True).alias("is_stationary"))
+
+
+@query(_var2_sql(3.0, "is_invertible"))
+def is_invertible_var_k2p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    df = coefficients(spark, sf_dir, 8, 3.0)
+    return df.select("vec_id", st.is_invertible(matrix(df["a"], 2, 2), True).alias("is_invertible"))
+
+
 @query("""SELECT * FROM (VALUES (1, false, 1, 0, true), (2, true, 0, 0, true), (3, false, 0, 1, false)) AS t(vec_id, is_stable, n_unit_roots, n_explosive, stable_with_unit_roots)""")
 def unit_roots_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)

@@ -2,7 +2,8 @@
 
 Batch windows are not defined on streams, so each key keeps the last value of every order below ``d`` as state. Rows of a
 micro-batch are put in time order within their key; a row that is not later than the key's last one is an error, since a
-difference once sent cannot be taken back.
+difference once sent cannot be taken back. A key's state, ``d`` numbers and a time, is kept for as long as the query runs: a difference
+needs its predecessor however long ago that came, so the state grows with the number of keys (not with that of rows).
 """
 
 from __future__ import annotations

@@ -17,6 +17,17 @@ def test_sql_functions(spark):
     assert sorted(r["s"]["is_stable"] for r in got) == [False, True]
 
 
+@pytest.mark.parametrize(("call", "kind"), [
+    ("lag_multiply(array(), array(1D))", "DimensionError"), ("lag_multiply(array(1D), array())", "DimensionError"), ("lag_companion(array())", "DimensionError"),
+    ("lag_companion(array(double('NaN')))", "NumericalError"), ("lag_multiply(array(1e200D), array(1e200D))", "NumericalError"), ("lag_from_ar(array(double('Infinity')))", "NumericalError"),
+    ("lag_ar_coeffs(array(2D, 1D))", "SpecificationError"), ("lag_ar_coeffs(array())", "DimensionError"), ("lag_evaluate(array(1D, NULL), 1D)", "NumericalError"), ("lag_degree(NULL)", "DimensionError"),
+])
+def test_sql_functions_have_the_guards(spark, call, kind):
+    sql.register(spark)
+    with pytest.raises(Exception, match=kind):
+        spark.sql(f"SELECT {call} AS x").collect()
+
+
 def test_streaming_difference(spark, tmp_path):
     values = {"a": [1, 3, 6, 10, 15], "b": [2, 2, 5]}
     rows = [(k, t, float(v)) for k, vs in values.items() for t, v in enumerate(vs)]

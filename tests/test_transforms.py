@@ -129,3 +129,17 @@ def test_undifference_inverts_difference(spark, values, d):
         lower = [b - a for a, b in zip(lower, lower[1:], strict=False)]
     back = tr.undifference(tr.difference(df, S, d), S, anchors(spark, *first), d=d)
     assert got(back, order="pos") == pytest.approx(values, abs=1e-6 * 8**d)
+
+
+@pytest.mark.parametrize("call", [
+    lambda df, spec, v: tr.difference(df, spec, 1, axis=1, validate=v), lambda df, spec, v: tr.seasonal_difference(df, spec, 1, axis=1, validate=v),
+    lambda df, spec, v: tr.log_difference(df, spec, axis=1, validate=v), lambda df, spec, v: tr.standardize(df, spec, axis=1, validate=v).values,
+])
+def test_validate_on_axis_1(spark, call):
+    spec = SeriesSpec((), "t", ("a", "b", "c"))
+    bad = spark.createDataFrame([(1, 1.0, float("nan"), 2.0)], "t int, a double, b double, c double")
+    with pytest.raises(NumericalError):
+        call(bad, spec, "eager")
+    with pytest.raises(SpecificationError):
+        call(bad, spec, "sometimes")
+    call(bad, spec, "lazy")
