@@ -52,7 +52,7 @@ FORMS = 40
 #: Letters of a piece of a word; longer words are scored by overlapping pieces.
 PIECE = 32
 #: Pairs of words in one run of the recursion, and words whose features are found at once: bounds of working memory.
-PAIRS, WORDS = 4096, 100_000
+PAIRS, WORDS = 2048, 50_000
 #: Rows of the machine's matrix that are worked on at once.
 ROWS = 4096
 #: Share of a landmark's neighbouring pairs that a word must hold.
@@ -262,28 +262,34 @@ def word_features(words: list[str], marks: Landmarks) -> tuple[np.ndarray, np.nd
     return key // len(marks.words), key % len(marks.words), largest
 
 
-def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1.0, rows: int = ROWS) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows; y is -1 or 1, ``share`` what a row counts (0: not at all)."""
-    cost = share * np.where(y > 0, 0.5 / max(share[y > 0].sum(), 1e-9), 0.5 / max(share[y < 0].sum(), 1e-9))
+def svm(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss and balanced classes, by Newton steps over blocks of rows.
+
+    ``toxic`` and ``clean`` are what each row counts as one of either class (a row can stand for sentences of both).
+    """
+    sides = [(1.0, 0.5 * toxic / max(toxic.sum(), 1e-9)), (-1.0, 0.5 * clean / max(clean.sum(), 1e-9))]
     n = x.shape[1]
     ridge = np.full(n + 1, penalty * 1e-3)
     ridge[-1] = 1e-9
     w = np.zeros(n + 1)
 
-    def margins(w: np.ndarray) -> np.ndarray:
-        return y * (x @ w[:-1].astype(np.float32) + w[-1])
+    def values(w: np.ndarray) -> np.ndarray:
+        return x @ w[:-1].astype(np.float32) + w[-1]
 
     def loss(w: np.ndarray) -> float:
-        return float(ridge @ (w * w) + cost @ np.maximum(0, 1 - margins(w)) ** 2)
+        f = values(w)
+        return float(ridge @ (w * w) + sum(cost @ np.maximum(0, 1 - y * f) ** 2 for y, cost in sides))
 
     for _ in range(50):
-        active = np.flatnonzero((margins(w) < 1) & (cost > 0))
+        f = values(w)
         gradient, hessian = ridge * w, np.diag(ridge) + 1e-12 * np.eye(n + 1)
-        for k in range(0, len(active), rows):
-            at = active[k : k + rows]
-            a = np.hstack((x[at], np.ones((len(at), 1))))
-            gradient = gradient - a.T @ (cost[at] * (y[at] - a @ w))
-            hessian = hessian + a.T @ (a * cost[at][:, None])
+        for y, cost in sides:
+            active = np.flatnonzero((y * f < 1) & (cost > 0))
+            for k in range(0, len(active), ROWS):
+                at = active[k : k + ROWS]
+                a = np.hstack((x[at], np.ones((len(at), 1))))
+                gradient = gradient - a.T @ (cost[at] * (y - a @ w))
+                hessian = hessian + a.T @ (a * cost[at][:, None])
         step = np.linalg.solve(hessian, gradient)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * step) > now:
@@ -448,7 +454,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
         return float(labels.mean()) if len(labels) else 0.0
     numbers: dict[str, int] = {}
     row, sentence, word, done, last = [], [], [], 0, 0
-    for data, offsets in wd.blocks(pa.array([t or "" for t in texts], pa.large_string())):
+    for data, offsets in wd.blocks(pa.array([t or "" for t in texts], pa.large_string()), 1 << 20):
         b = read_block(data, offsets)
         ids = np.array([numbers.setdefault(w, len(numbers)) for w in texts_of(data, b.start, b.end)], np.int64)
         row.append((b.row + done).astype(np.int32))
@@ -461,6 +467,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     owner, kind = pairs // len(words), pairs % len(words)
     toxic = np.bincount(kind[labels[owner] == 1], minlength=len(words))
     clean = np.bincount(kind[labels[owner] == 0], minlength=len(words))
+    del pairs, owner, kind
     chosen, nearest = choose_landmarks(words, toxic, clean, int(labels.sum()), int((1 - labels).sum()))
     if not chosen:
         return float(labels.mean())
@@ -478,28 +485,39 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model | float:
     n = int(code.max(initial=-1)) + 1
     if not n:
         return float(labels.mean())
-    # a clean document also stands for its sentences in which no word takes part
-    rest = np.flatnonzero(labels == 0)
-    x = np.zeros((n + len(rest), size), np.float32)
-    for k in range(0, len(taking), WORDS):
-        np.add.at(x, code[k : k + WORDS], features[table[word[taking[k : k + WORDS]]]])
+    # sentences of the same taking words are one row of the machine, which saves most of them
+    order = np.argsort(code, kind="stable")
+    kinds = table[word[taking[order]]]
+    begin = np.searchsorted(code[order], np.arange(n + 1))
+    names = np.add.reduceat(wd.mix(kinds.astype(np.uint64) + np.uint64(1)), begin[:-1])
+    pattern, unique = pd.factorize(names)
+    first = np.empty(len(unique), np.int64)
+    first[pattern[::-1]] = np.arange(n)[::-1]
+    x = np.zeros((len(unique) + 1, size), np.float32)
     whitening = marks.whitening.astype(np.float32)
-    for k in range(0, n, ROWS):
-        x[k : k + ROWS] = x[k : k + ROWS] @ whitening
+    for k in range(0, len(unique), ROWS):
+        mine = first[k : k + ROWS]
+        long = begin[mine + 1] - begin[mine]
+        before = np.cumsum(long) - long
+        tokens = np.repeat(begin[mine] - before, long) + np.arange(int(long.sum()))
+        x[k : k + len(mine)] = np.add.reduceat(features[kinds[tokens]], before, axis=0) @ whitening
+    # a clean document also stands for its sentences in which no word takes part: the last row
+    rest = np.flatnonzero(labels == 0)
     document = np.zeros(n, np.int64)
     document[code] = row[taking]
-    document = np.concatenate((document, rest))
-    y = np.where(labels[document] == 1, 1.0, -1.0)
-    use = np.ones(len(y), bool)
+    document, pattern = np.concatenate((document, rest)), np.concatenate((pattern, np.full(len(rest), len(unique))))
+    is_toxic = labels[document] == 1
+    use = np.ones(len(document), bool)
     weights, bias = np.zeros(size), 0.0
     for _ in range(4):
-        if len(np.unique(y[use])) < 2:
+        counts = [np.bincount(pattern[use & side], share[document[use & side]], minlength=len(x)) for side in (is_toxic, ~is_toxic)]
+        if not (counts[0].any() and counts[1].any()):
             break
-        weights, bias = svm(x, y, np.where(use, share[document], 0.0))
-        margin = x @ weights.astype(np.float32) + bias
+        weights, bias = svm(x, *counts)
+        margin = (x @ weights.astype(np.float32) + bias)[pattern]
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, document, margin)
-        use = (y < 0) | (margin > 0) | (margin >= best[document])
+        use = ~is_toxic | (margin > 0) | (margin >= best[document])
     del x
     weights = marks.whitening @ weights
     got = document_features(row[taking], sentence[taking], (features @ weights)[table[word[taking]]], len(labels), bias)
@@ -540,7 +558,7 @@ def scores(column: pa.Array, model: Model | float, memory: Memory | None) -> np.
     if memory is None:
         return np.full(len(column), float(model))
     out = []
-    for data, offsets in wd.blocks(column):
+    for data, offsets in wd.blocks(column, 1 << 20):
         b = read_block(data, offsets)
         value = memory.of(b, data)[b.code]
         taking = np.flatnonzero(~np.isnan(value))
