@@ -548,9 +548,9 @@ class Memory:
             out[new] = got
             if len(self.keys) + len(new) > self.most:
                 self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
-            keys = np.concatenate((self.keys, b.hashes[new]))
-            order = np.argsort(keys)
-            self.keys, self.values = keys[order], np.concatenate((self.values, got))[order]
+            keys, order = b.hashes[new], np.argsort(b.hashes[new])
+            at = np.searchsorted(self.keys, keys[order])
+            self.keys, self.values = np.insert(self.keys, at, keys[order]), np.insert(self.values, at, got[order])
         return out
 
 
