@@ -27,8 +27,8 @@ _BLANK = ~wd.NOT_BLANK
 _ODD_BLANKS = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: The pre-tokenisation pattern of byte-level BPE with ``use_regex``.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks remembered per worker, with or without their ids; beyond that the memory starts anew (a matter of speed only).
-REMEMBERED = 400_000
+#: Chunks remembered per worker (20 bytes each, and 4 for each id where ids are kept); beyond that the memory starts anew (a matter of speed only).
+REMEMBERED = 1_000_000
 #: Chunks handed to the library at once; its encodings take some kB each.
 LEARNED = 8192
 
@@ -102,10 +102,9 @@ class Encoder:
         if self.ids:
             firsts += len(self.pool) + np.cumsum(counts) - counts
             self.pool = np.concatenate((self.pool, np.fromiter((t for g in got for t in g), np.uint32, int(counts.sum()))))
-        order = np.argsort(all_hashes := np.concatenate((self.hashes, hashes)), kind="stable")
-        self.hashes = all_hashes[order]
-        self.counts = np.concatenate((self.counts, counts))[order]
-        self.firsts = np.concatenate((self.firsts, firsts))[order]
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.counts, self.firsts = (np.insert(known, at, new[order]) for known, new in ((self.hashes, hashes), (self.counts, counts), (self.firsts, firsts)))
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         blank = _BLANK[data]

@@ -36,7 +36,7 @@ from lagweave.session import map_arrow
 CAPACITY = 1024
 END = 2
 #: Rows of one length ranked in one task.
-RANKED = 4096
+RANKED = 1024
 #: Bounds of the linear program: rounds, and the gap between its value and the dual bound at which they end.
 ROUNDS, GAP = 2000, 0.003
 #: Of a round: how much weights shrink by a full cover, what part of a length's demand it covers at most, how near to the best price counts.
