@@ -6,16 +6,17 @@ weighting of all context trees, ``Pw = 1/2 Pe + 1/2 prod Pw(children)``, makes a
 ``p_d = w_d KT_d + (1 - w_d) p_(d+1)`` with ``w_d = 1/2 Pe / Pw``. Texts are lower-cased (A-Z) bytes, begin after zero bytes and end
 with a zero byte, which is coded too, so a score is a whole text's probability.
 
-All texts are counted at the full depth. Of the contexts of three bytes and more, scoring uses the most frequent ones, so many that the bytes seen in
-them are at most ``KEPT`` at each depth; what was seen in the others is not dropped but is one more child of their parent, "any other
-byte", with an estimate of its own. So the model that goes to every executor is bounded whatever the input, and so is that of
-words: the most frequent ones, at most ``HEAD``, go out as one table, and the rare words of each document are joined to their counts.
+All texts are counted at the full depth, and all contexts are in the trees. What goes to every executor is bounded whatever the input: the
+decisions at contexts of at most two bytes, the log probabilities of the most frequent (context, byte), at most ``SENT``, and the counts of
+the most frequent words, at most ``HEAD``. The other bytes of each document are joined to log probabilities of the same trees, its rare
+words to their counts. ``KEPT``, if set, makes smaller trees: of the contexts of three bytes and more the most frequent stay, and what was
+seen in the others is one more child of their parent, "any other byte", with an estimate of its own. The query leaves it unset.
 
 Counting is one pass that emits each task's distinct (context, byte) and word counts; sums meet by key. The trees' weights are computed
-bottom-up, in groups by the last three bytes of the context, where all deeper contexts of a group are together.
+bottom-up, in groups by the last three bytes of the context, where all deeper contexts of a group are together; a byte's log probability
+needs its group and the contexts of at most two bytes.
 
-Words are told apart by a 64-bit hash. Defined cases: a null text is the empty text (one end token); repeated rows get a row each; contexts
-equally frequent are kept or pooled together, words too; an empty table gives an empty result; no training rows at all leave every estimate
+Words are told apart by a 64-bit hash. Defined cases: a null text is the empty text (one end token); repeated rows get a row each; an empty table gives an empty result; no training rows at all leave every estimate
 at one half; texts are scored whole, very long ones in one row's pieces; columns besides ``doc_id`` and ``text``, whatever their names, are ignored.
 """
 
@@ -33,18 +34,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagweave.llm import words as wd
-from lagweave.llm.shared import bucket_of, materialize
+from lagweave.llm.shared import bucket_of, discard, materialize
 from lagweave.session import map_arrow
 
 DEPTH = 5
-#: The depth from which on contexts can be pooled; groups of contexts are those with this many last bytes in common.
+#: Groups of contexts are those with this many last bytes in common; with ``KEPT``, contexts from this depth on can be pooled.
 POOLED = 3
-#: Bytes seen in the contexts that are kept at each depth from there on (12 bytes each, and 20 for each of their up to 8 decisions).
-KEPT = 300_000
+#: None: every context is in the trees. A number: at most so many bytes seen in the contexts that stay at each depth from ``POOLED`` on.
+KEPT: int | None = None
+#: Bytes in context whose log probabilities go to every executor (16 bytes each); with ``KEPT``, so many.
+SENT = 1_000_000
 #: Words in the table that goes to every executor (16 bytes each).
 HEAD = 500_000
-#: Groups in which the lower levels of the trees are weighted.
-GROUPS = 1024
+#: Distinct bytes in context in one of the groups in which the lower levels of the trees are weighted, on average.
+GROUP = 20_000
 WORD, GRAM = 0, 1
 _END = wd.mix(np.array([0x5BD1E995], np.uint64))  # the end token's hash
 
@@ -162,7 +165,7 @@ def weighted(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, known: tuple
 
 
 def nodes_of(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Decisions of the deepest contexts: (context << 8 | node), zeros, ones."""
+    """Decisions of the contexts, sorted: (context << 8 | node), zeros, ones."""
     context, symbol = gram >> 8, gram & 255
     keys, zeros, ones = [], [], []
     for k in range(8):
@@ -170,7 +173,9 @@ def nodes_of(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         bit = symbol >> (7 - k) & 1
         ones.append(np.where(bit == 1, n, 0))
         zeros.append(np.where(bit == 0, n, 0))
-    return _summed(np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones))
+    out = _summed(np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones))
+    order = np.argsort(out[0])
+    return tuple(x[order] for x in out)
 
 
 def parent(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -178,21 +183,13 @@ def parent(keys: np.ndarray, depth: int) -> np.ndarray:
     return (keys >> 8 & ((1 << 8 * (depth - 1)) - 1)) << 8 | keys & 255
 
 
-#: ``depth`` of a row: that of a decision's context; or ``SEEN`` and more, for a byte seen in a kept context of depth less ``SEEN``.
-_NODES = "depth int, key long, kept boolean, weight float, one float, other float, zeros double, ones double, below double"
-SEEN = 100
+#: Decisions of one depth. ``kept``: the context is in the trees, not pooled.
+_NODES = "key long, kept boolean, weight double, one double, other double, zeros double, ones double, pw double"
 
 
-def _node_table(depth: int, level: Level, kept: np.ndarray) -> pa.Table:
-    floats = {c: pa.array(x, pa.float32()) for c, x in (("weight", level.weight), ("one", level.one), ("other", level.other))}
-    doubles = {c: pa.array(x, pa.float64()) for c, x in (("zeros", level.zeros), ("ones", level.ones), ("below", level.pw))}
-    return pa.table({"depth": pa.array(np.full(len(level.keys), depth), pa.int32()), "key": pa.array(level.keys, pa.int64()), "kept": pa.array(kept, pa.bool_()), **floats, **doubles})
-
-
-def _seen_table(depth: int, grams: np.ndarray) -> pa.Table:
-    n = len(grams)
-    empty = {c: pa.array(np.zeros(n), pa.float32()) for c in ("weight", "one", "other")} | {c: pa.array(np.zeros(n), pa.float64()) for c in ("zeros", "ones", "below")}
-    return pa.table({"depth": pa.array(np.full(n, SEEN + depth), pa.int32()), "key": pa.array(grams, pa.int64()), "kept": pa.array(np.ones(n, bool), pa.bool_()), **empty})
+def _node_table(level: Level, kept: np.ndarray) -> pa.Table:
+    doubles = {c: pa.array(getattr(level, c), pa.float64()) for c in ("weight", "one", "other", "zeros", "ones", "pw")}
+    return pa.table({"key": pa.array(level.keys, pa.int64()), "kept": pa.array(kept, pa.bool_()), **doubles})
 
 
 def _shorter(grams: np.ndarray, depth: int) -> np.ndarray:
@@ -200,12 +197,13 @@ def _shorter(grams: np.ndarray, depth: int) -> np.ndarray:
     return grams & ((1 << 8 * (depth + 1)) - 1)
 
 
-def group_levels(grams: np.ndarray, n: np.ndarray, least: dict[int, int]) -> pa.Table:
-    """The levels from ``POOLED`` down of the contexts in a group. ``least``: the octave from which a depth's contexts are kept."""
+def group_levels(grams: np.ndarray, n: np.ndarray, least: dict[int, int]) -> tuple[dict[int, Level], np.ndarray]:
+    """The levels from ``POOLED`` down of the contexts in a group, and which decisions of the first one are at kept contexts.
+    ``least``: the octave from which a depth's contexts are kept."""
     seen = {DEPTH: (grams, n.astype(float))}
     for depth in range(DEPTH - 1, POOLED - 1, -1):
         seen[depth] = _summed(_shorter(seen[depth + 1][0], depth), seen[depth + 1][1])
-    tables, below = [], None
+    levels: dict[int, Level] = {}
     for depth in range(DEPTH, POOLED - 1, -1):
         keys, count = seen[depth]
         codes, _ = pd.factorize(keys >> 8)
@@ -214,66 +212,100 @@ def group_levels(grams: np.ndarray, n: np.ndarray, least: dict[int, int]) -> pa.
         chosen = frequent if depth > POOLED else np.ones(len(keys), bool)
         nodes, zeros, ones = nodes_of(keys[chosen], count[chosen])
         if depth == DEPTH:
-            level = weighted(nodes, zeros, ones, None)
-        else:
-            known = [np.zeros(len(nodes)) for _ in range(3)]
-            if len(below.keys):
-                up, *sums = _summed(parent(below.keys, depth + 1), below.zeros, below.ones, below.pw)
-                order = np.argsort(nodes)
-                at = order[np.searchsorted(nodes, up, sorter=order)]
-                for k, x in zip(known, sums, strict=True):
-                    k[at] = x
-            level = weighted(nodes, zeros, ones, tuple(known))
-        kept = np.isin(level.keys >> 8, np.unique(keys[frequent] >> 8))
-        tables += [_node_table(depth, level, kept), _seen_table(depth, keys[frequent])]
-        below = level
-    return pa.concat_tables(tables)
-
-
-def deep_levels(counts: DataFrame, least: dict[int, int]) -> DataFrame:
+            levels[depth] = weighted(nodes, zeros, ones, None)
+            continue
+        known, below = [np.zeros(len(nodes)) for _ in range(3)], levels[depth + 1]
+        if len(below.keys):
+            up, *sums = _summed(parent(below.keys, depth + 1), below.zeros, below.ones, below.pw)
+            at = np.searchsorted(nodes, up)
+            for k, x in zip(known, sums, strict=True):
+                k[at] = x
+        levels[depth] = weighted(nodes, zeros, ones, tuple(known))
+    return levels, np.isin(levels[POOLED].keys >> 8, np.unique(keys[frequent] >> 8))
+
+
+def lower_mixture(gram: np.ndarray, levels: dict[int, Level], kept: np.ndarray) -> np.ndarray:
+    """For each gram and each of its 8 decisions the probability of a one from depth ``POOLED`` down; NaN where that context is not kept."""
+    tables = {d: (x.keys, x.weight, x.one, x.other) for d, x in levels.items()}
+    tables[POOLED] = tuple(x[kept] for x in tables[POOLED])
+    out = np.empty((len(gram), 8))
+    for k in range(8):
+        out[:, k] = mixture(gram >> 8, _node(gram, k), tables, range(POOLED, DEPTH + 1), np.full(len(gram), np.nan))
+    return out
+
+
+def _group(key: str, groups: int):
+    shared = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * POOLED) - 1))
+    return F.pmod(F.xxhash64(shared), F.lit(groups)).alias("g")
+
+
+def deep_levels(counts: DataFrame, groups: int, least: dict[int, int], sent: int) -> DataFrame:
+    """Decisions at depth ``POOLED``; and with ``lower``, their ``lower_mixture``, the grams whose count is in octave ``sent`` or above."""
     def run(group: pa.Table) -> pa.Table:
-        return group_levels(group.column("key").to_numpy(), group.column("n").to_numpy(), least)
+        gram, n = group.column("key").to_numpy(), group.column("n").to_numpy()
+        levels, kept = group_levels(gram, n, least)
+        frequent = gram[octave(n) >= sent]
+        lower = pa.ListArray.from_arrays(pa.array(np.arange(len(frequent) + 1) * 8, pa.int32()), pa.array(lower_mixture(frequent, levels, kept).ravel()))
+        nodes = _node_table(levels[POOLED], kept)
+        empty = {f.name: pa.nulls(len(frequent), f.type) for f in nodes.schema if f.name != "key"}
+        return pa.concat_tables([
+            nodes.append_column("lower", pa.nulls(len(nodes), lower.type)),
+            pa.table({"key": pa.array(frequent, pa.int64()), **empty, "lower": lower}),
+        ])
 
-    shared = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * POOLED) - 1))
-    return counts.select("key", "n").withColumn("g", F.pmod(F.xxhash64(shared), F.lit(GROUPS))).groupBy("g").applyInArrow(lambda t: run(t), _NODES)
+    return counts.select("key", "n", _group("key", groups)).groupBy("g").applyInArrow(lambda t: run(t), _NODES + ", lower array<double>")
 
 
 def upper_level(nodes: DataFrame, depth: int) -> DataFrame:
     """Nodes of a level from those below: sums first, so a group is at most 255 rows a context."""
     keys = (F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))) * 256 + F.col("key").bitwiseAND(F.lit(255))
-    of_kept = [F.sum(F.when(F.col("kept"), F.col(c)).otherwise(0.0)).alias(f"kept_{c}") for c in ("zeros", "ones", "below")]
-    summed = nodes.where(F.col("depth") == depth + 1).groupBy(keys.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), *of_kept)
+    of_kept = [F.sum(F.when(F.col("kept"), F.col(c)).otherwise(0.0)).alias(f"kept_{c}") for c in ("zeros", "ones", "pw")]
+    summed = nodes.groupBy(keys.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), *of_kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, zeros, ones, *known = (b.column(c).to_numpy() for c in ("key", "zeros", "ones", "kept_zeros", "kept_ones", "kept_below"))
-            yield from _node_table(depth, weighted(k, zeros, ones, tuple(known)), np.ones(len(k), bool)).to_batches()
+            k, zeros, ones, *known = (b.column(c).to_numpy() for c in ("key", "zeros", "ones", "kept_zeros", "kept_ones", "kept_pw"))
+            yield from _node_table(weighted(k, zeros, ones, tuple(known)), np.ones(len(k), bool)).to_batches()
 
     return map_arrow(summed, run, _NODES)
 
 
-def thresholds(grams: DataFrame, kept: int) -> dict[int, int]:
-    """For each depth from ``POOLED`` on the least octave of counts so that at most ``kept`` bytes are seen in contexts from there on;
-    no lower than that of the depth before, so that a kept context's parent is kept."""
+def _eighth(n: str):
+    return F.floor(F.log2(n) * 8 + F.lit(1e-9))
+
+
+def _least(sizes: list[tuple[int, int]], most: int) -> int:
+    """The least octave so that from there on there are at most ``most``; ``sizes``: octaves and how many are in each."""
+    total, least = 0, 1 << 20
+    for o, n in sorted(sizes, reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, o
+    return least
+
+
+def _sizes(counts: DataFrame, size) -> list[tuple[int, int]]:
+    return [(r[0], r[1]) for r in counts.groupBy(_eighth("n").alias("o")).agg(size).collect()]  # at most some 500 rows
+
+
+def thresholds(grams: DataFrame, kept: int | None) -> dict[int, int]:
+    """For each depth from ``POOLED`` on the least octave of counts of the contexts in the trees. All are if ``kept`` is None; else at most ``kept``
+    bytes are seen in them, and the octave is no lower than that of the depth before, so that a kept context's parent is kept."""
+    if kept is None:
+        return dict.fromkeys(range(POOLED, DEPTH + 1), 0)
     out: dict[int, int] = {}
     for depth in range(POOLED, DEPTH + 1):
         context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
         byte = F.col("key").bitwiseAND(F.lit(255))
         contexts = grams.groupBy(context.alias("c"), byte.alias("b")).agg(F.sum("n").alias("n")).groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("bytes"))
-        sizes = contexts.groupBy(F.floor(F.log2("n") * 8 + F.lit(1e-9)).alias("o")).agg(F.sum("bytes")).collect()  # at most some 500 rows
-        total, least = 0, None
-        for o, n in sorted(((r[0], r[1]) for r in sizes), reverse=True):
-            if total + n > kept:
-                break
-            total, least = total + n, o
-        out[depth] = max([least if least is not None else 1 << 20, *out.values()])
+        out[depth] = max([_least(_sizes(contexts, F.sum("bytes")), kept), *out.values()])
     return out
 
 
 @dataclass
 class Bytes:
-    """The byte model: for each depth sorted decisions with weights, estimates and those for the rest; and for each depth from
-    ``POOLED`` on the bytes seen in kept contexts with their log10 probabilities where no deeper context is kept."""
+    """What goes out of the byte model: for each depth sorted decisions with weights, estimates and those for the rest, of which there are none
+    from ``POOLED`` on (they are made anew from the counts, in groups); and the most frequent grams, sorted, with their log10 probabilities."""
 
     levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     seen: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -282,6 +314,10 @@ class Bytes:
 @dataclass
 class Model:
     bytes: Broadcast
+    #: All (context, byte) and their counts, the number of groups for them, and the octaves from which contexts are in the trees.
+    grams: DataFrame
+    groups: int
+    least: dict[int, int]
     #: Sorted hashes and counts of the frequent words.
     head: Broadcast
     #: All words and their counts.
@@ -291,57 +327,43 @@ class Model:
     distinct: int
 
 
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """The columns, ordered by the first."""
+    first, *others = (c.to_numpy() for c in rows.columns)
+    order = np.argsort(first)
+    return first[order], *(x[order] for x in others)
+
+
 def fit(docs: DataFrame) -> Model:
     """Count ``docs`` and weigh the trees."""
     context = docs.sparkSession.sparkContext
     counts = materialize(count(docs), "counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the frequent words: all whose count is in the highest eighths of octaves that fit (at most some 500 rows)
-    eighth = F.floor(F.log2("n") * 8)
-    sizes = sorted(((r[0], r[1]) for r in words.groupBy(eighth.alias("o")).agg(F.count("*")).collect()), reverse=True)
-    taken, least = 0, None
-    for o, n in sizes:
-        if taken + n > HEAD:
-            break
-        taken, least = taken + n, o
-    rows = words.where(eighth >= (least if least is not None else 1 << 30)).toArrow()
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    head = context.broadcast((keys[order], n[order]))
+    # the frequent ones: all whose count is in the highest eighths of octaves that fit
+    head = context.broadcast(_sorted(words.where(_eighth("n") >= _least(_sizes(words, F.count("*")), HEAD)).toArrow()))
     grams = counts.where(F.col("kind") == GRAM).select("key", "n")
-    nodes = materialize(deep_levels(grams, thresholds(grams, KEPT)), "nodes")
-    levels, below = [nodes.where("kept")], nodes
+    sizes = _sizes(grams, F.count("*"))
+    groups, least = 32 + sum(n for _, n in sizes) // GROUP, thresholds(grams, KEPT)
+    nodes = materialize(deep_levels(grams, groups, least, _least(sizes, SENT if KEPT is None else KEPT)), "nodes")
+    # bounded: 255 decisions for each of the 65,793 contexts of at most two bytes
+    none = np.zeros(0)
+    levels: dict[int, tuple[np.ndarray, ...]] = {d: (none.astype(np.int64), none, none, none) for d in range(POOLED, DEPTH + 1)}
+    below = nodes.where(F.col("lower").isNull())
     for depth in range(POOLED - 1, -1, -1):
         below = materialize(upper_level(below, depth), "nodes")
-        levels.append(below)
-    # bounded by KEPT, 255 nodes for each of the 65,793 contexts of at most two bytes, and what was seen
-    got: dict[int, tuple[np.ndarray, ...]] = {}
-    for table in levels:
-        rows = table.where(F.col("depth") < SEEN).select("depth", "key", "weight", "one", "other").toArrow()
-        d = rows.column("depth").to_numpy()
-        for depth in np.unique(d).tolist():
-            mine = np.flatnonzero(d == depth)
-            mine = mine[np.argsort(rows.column("key").to_numpy()[mine])]
-            got[depth] = tuple(rows.column(c).to_numpy()[mine] for c in ("key", "weight", "one", "other"))
-    tables = context.broadcast(got)
+        levels[depth] = _sorted(below.select("key", "weight", "one", "other").toArrow())
+    tables = context.broadcast(levels)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            depth, grams = b.column("depth").to_numpy() - SEEN, b.column("key").to_numpy()
-            out = np.zeros(len(grams))
-            for k in np.unique(depth).tolist():
-                out[depth == k] = log_probabilities(grams[depth == k], tables.value, k)
-            yield pa.RecordBatch.from_arrays([b.column("depth"), b.column("key"), pa.array(out, pa.float64())], ["depth", "key", "log"])
+            gram, lower = b.column("key").to_numpy(), b.column("lower").flatten().to_numpy().reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(log_probabilities(gram, lower, tables.value))], ["key", "log"])
 
-    rows = map_arrow(nodes.where(F.col("depth") >= SEEN).select("depth", "key"), price, "depth int, key long, log double").toArrow()
+    seen = _sorted(map_arrow(nodes.where(F.col("lower").isNotNull()).select("key", "lower"), price, "key long, log double").toArrow())
     tables.unpersist()
-    d, seen = rows.column("depth").to_numpy(), {}
-    for depth in np.unique(d).tolist():
-        mine = np.flatnonzero(d == depth)
-        mine = mine[np.argsort(rows.column("key").to_numpy()[mine])]
-        seen[depth - SEEN] = tuple(rows.column(c).to_numpy()[mine] for c in ("key", "log"))
-    return Model(context.broadcast(Bytes(got, seen)), head, words, int(sums[0]), int(sums[1]))
+    discard(nodes)
+    return Model(context.broadcast(Bytes(levels, {DEPTH: seen})), grams, groups, least, head, words, int(sums[0]), int(sums[1]))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,78 +374,62 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def log_probabilities(gram: np.ndarray, levels: dict[int, tuple[np.ndarray, ...]], deepest: int = DEPTH) -> np.ndarray:
-    """log10 of the model's probability of each gram's byte in its context, of which the last ``deepest`` bytes are looked at."""
-    context, symbol = gram >> 8, gram & 255
+def _node(gram: np.ndarray, k: int) -> np.ndarray:
+    """The decision on bit ``k`` of the grams' bytes."""
+    return 1 << k | (gram & 255) >> (8 - k)
+
+
+def mixture(context: np.ndarray, node: np.ndarray, levels: dict[int, tuple[np.ndarray, ...]], depths: range, rest: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+    """The probability of a one by the estimates of some successive depths. ``below``: that of the next depth, where it has the context (else NaN);
+    ``rest``: that where not even the first depth has it."""
+    # from above: weights of the estimates so far and what is left of the mixture; a context that is not there has no children either
+    p, left, inside, rest = np.zeros(len(node)), np.ones(len(node)), np.ones(len(node), bool), rest.copy()
+    for depth in depths:
+        keys, weight, one, other = levels[depth]
+        at, found = _find(keys, (context & ((1 << 8 * depth) - 1)) << 8 | node)
+        inside &= found
+        now = at[inside]
+        p[inside] += left[inside] * weight[now] * one[now]
+        left[inside] *= 1 - weight[now]
+        rest[inside] = other[now]
+    return p + left * (rest if below is None else np.where(np.isnan(below), rest, below))
+
+
+def log_probabilities(gram: np.ndarray, lower: np.ndarray, levels: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 of the model's probability of each gram's byte in its context; ``lower``: its ``lower_mixture``."""
     total = np.zeros(len(gram))
     for k in range(8):
-        node, bit = 1 << k | symbol >> (8 - k), symbol >> (7 - k) & 1
-        # from above: weights of the estimates so far and what is left of the mixture; a context that is not there has no children either
-        p, left, inside, rest = np.zeros(len(gram)), np.ones(len(gram)), np.ones(len(gram), bool), np.full(len(gram), 0.5)
-        for depth in range(deepest + 1):
-            if depth not in levels:
-                break
-            keys, weight, one, other = levels[depth]
-            at, found = _find(keys, (context & ((1 << 8 * depth) - 1)) << 8 | node)
-            inside &= found
-            now = at[inside]
-            p[inside] += left[inside] * weight[now] * one[now]
-            left[inside] *= 1 - weight[now].astype(float)
-            rest[inside] = other[now]
-        p += left * rest
-        total += np.log10(np.where(bit == 1, p, 1 - p))
+        p = mixture(gram >> 8, _node(gram, k), levels, range(POOLED), np.full(len(gram), 0.5), lower[:, k])
+        total += np.log10(np.where(gram >> (7 - k) & 1 == 1, p, 1 - p))
     return total
 
 
-class Memory:
-    """Log probabilities of grams that a task has met, sorted; forgotten when they are many."""
-
-    def __init__(self, model: Bytes, most: int = 1_000_000) -> None:
-        self.model, self.most = model, most
-        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
-        self.contexts = {d: np.unique(keys >> 8) for d, (keys, _) in model.seen.items()}
-
-    def of(self, unique: np.ndarray) -> np.ndarray:
-        at, known = _find(self.keys, unique)
-        out = np.empty(len(unique))
-        out[known] = self.values[at[known]]
-        new = unique[~known]
-        if len(new):
-            out[~known] = got = self._price(new)
-            if len(self.keys) + len(new) > self.most:
-                self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
-            order = np.argsort(new)
-            at = np.searchsorted(self.keys, new[order])
-            self.keys, self.values = np.insert(self.keys, at, new[order]), np.insert(self.values, at, got[order])
-        return out
-
-    def _price(self, gram: np.ndarray) -> np.ndarray:
-        """A byte that the deepest kept context has seen is looked up; others are put together decision by decision."""
-        out, left = np.empty(len(gram)), np.arange(len(gram))
-        slow = []
-        for depth in sorted(self.model.seen, reverse=True):
-            keys, logs = self.model.seen[depth]
-            mine = _shorter(gram[left], depth)
-            at, found = _find(keys, mine)
-            out[left[found]] = logs[at[found]]
-            left, mine = left[~found], mine[~found]
-            kept = _find(self.contexts[depth], mine >> 8)[1]
-            slow.append(left[kept])
-            left = left[~kept]
-        rest = np.concatenate([*slow, left])
-        out[rest] = log_probabilities(gram[rest], self.model.levels)
-        return out
+def prices(wanted: DataFrame, model: Model) -> DataFrame:
+    """``key, log``: log10 of the probability of any grams, distinct ones in ``key``; grams that training has not seen too."""
+    sent, least = model.bytes, model.least
+    low = (1 << 8 * POOLED) - 1
+
+    def run(counts: pa.Table, wanted: pa.Table) -> pa.Table:
+        gram, keys, n = wanted.column("key").to_numpy(), counts.column("key").to_numpy(), counts.column("n").to_numpy()
+        mine = np.isin(keys >> 8 & low, np.unique(gram >> 8 & low))
+        levels, kept = group_levels(keys[mine], n[mine], least)
+        return pa.table({"key": pa.array(gram, pa.int64()), "log": pa.array(log_probabilities(gram, lower_mixture(gram, levels, kept), sent.value.levels))})
+
+    dealt = (x.select(*x.columns, _group("key", model.groups)).groupBy("g") for x in (model.grams, wanted.select("key")))
+    return next(dealt).cogroup(next(dealt)).applyInArrow(lambda a, b: run(a, b), "key long, log double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: ``n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     key = docs.schema["doc_id"]
     schema = T.StructType([T.StructField("uid", T.LongType()), key, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    gram_type = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    schema.add("grams", T.ArrayType(gram_type))
     sent, head, scale = model.bytes, model.head, float(model.total + model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        memory = Memory(sent.value)
+        frequent, prices_of = sent.value.seen[DEPTH]
         keys, counts = head.value
         logs = np.log10((counts + 1) / scale)
         for b in batches:
@@ -432,28 +438,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 n = len(offsets) - 1
                 gram, bounds = grams(data, offsets)
                 codes, unique = pd.factorize(gram)
-                byte_score = wd.per_row(memory.of(unique)[codes], bounds)
+                at, known = _find(frequent, unique)
+                value = np.zeros(len(unique))
+                value[known] = prices_of[at[known]]
+                byte_score = wd.per_row(value[codes], bounds)
+                # the others, each once a row
+                rare = np.flatnonzero(~known[codes])
+                row = np.searchsorted(bounds, rare, "right") - 1
+                pairs, times = np.unique(row * len(unique) + codes[rare], return_counts=True)
+                others = pa.StructArray.from_arrays([pa.array(unique[pairs % len(unique)]), pa.array(times.astype(np.int64))], ["key", "n"])
+                others = pa.ListArray.from_arrays(np.searchsorted(pairs, np.arange(n + 1) * len(unique)).astype(np.int32), others)
                 words = wd.segment(data, offsets, wd.NOT_BLANK)
                 # words, then an end a row, in row order
                 hashes = np.insert(words.hash.view(np.int64), words.bounds[1:], _END.view(np.int64)[0])
                 ends = words.bounds + np.arange(n + 1)
                 codes, unique = pd.factorize(hashes)
-                at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-                known = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
-                value = np.where(known, logs[at] if len(keys) else 0.0, 0.0)
+                at, known = _find(keys, unique)
+                value = np.zeros(len(unique))
+                value[known] = logs[at[known]]
                 is_known = known[codes]
                 rare = np.flatnonzero(~is_known)
                 rare_bounds = np.searchsorted(rare, ends)
                 columns = [pa.array(np.arange(uid, uid + n)), b.column("doc_id").slice(done, n), pa.array(np.diff(ends)), pa.array(wd.per_row(is_known.astype(np.int64), ends))]
                 columns += [pa.array(wd.per_row(value[codes], ends)), pa.array(byte_score), pa.array(np.diff(offsets))]
                 columns.append(pa.ListArray.from_arrays(pa.array(rare_bounds.astype(np.int32)), pa.array(hashes[rare])))
+                columns.append(others)
                 uid, done = uid + n, done + n
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     parts = materialize(map_arrow(docs.select("doc_id", "text"), run, schema), "scored")
     rare = parts.select("uid", F.explode("rare").alias("key"))
     found = rare.join(model.words, "key", "left").groupBy("uid").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(scale))).alias("rest"))
-    out = parts.drop("rare").join(found, "uid", "left")
+    grams_of = parts.select("uid", F.inline("grams"))
+    priced = materialize(prices(grams_of.select("key").distinct(), model), "prices")
+    bytes_of = grams_of.join(priced, "key").groupBy("uid").agg(F.sum(F.col("n") * F.col("log")).alias("others"))
+    out = parts.drop("rare", "grams").join(found, "uid", "left").join(bytes_of, "uid", "left").withColumn("score", F.col("score") + F.coalesce("others", F.lit(0.0)))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),

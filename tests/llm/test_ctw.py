@@ -127,3 +127,29 @@ def test_very_long_text_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert ctw.train_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 40, 1_000_000])
+def test_all_contexts_are_in_the_trees_whatever_goes_out(spark, monkeypatch, sent):
+    monkeypatch.setattr(ctw, "SENT", sent)
+    monkeypatch.setattr(ctw, "GROUP", 50)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    train = [t for i, t in enumerate(TEXTS) if i % 2]
+    model = ctw.fit(df.where("doc_id % 2 = 1"))
+    tree = Tree(train)
+    out, seen = len(model.bytes.value.seen[ctw.DEPTH][0]), len({c for t in train for c in Tree.coded(t)})
+    assert out <= sent and (out > 0) == (sent > 0) and (out == seen) == (sent > seen)
+    for r in ctw.score(df, model).collect():
+        assert r["score"] == pytest.approx(tree.log10(TEXTS[r["doc_id"]]), rel=1e-9)
+
+
+def test_more_contexts_than_were_ever_kept(spark, monkeypatch):
+    import random
+
+    letters = random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=450_000)
+    rows = [(i, "".join(letters[i % 450 * 1000 : (i % 450 + 1) * 1000])) for i in range(900)]  # twice each, so that deep contexts tell
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["score"] for r in ctw.train_and_score(df).collect()}
+    monkeypatch.setattr(ctw, "KEPT", 10**9)
+    whole = {r["doc_id"]: r["score"] for r in ctw.train_and_score(df).collect()}
+    assert len(got) == len(rows) and got == pytest.approx(whole, rel=1e-6)
